@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import find_contamination
 from .mixing import mix_sources
+from .secrets import secret_report
 from .urlfilter import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,35 @@ URL_RULES = [
 ]
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 13-word windows of the benchmark."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(LOWER, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(LOWER, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+bw AS (SELECT DISTINCT item, l, array_to_string(w[i:i + l - 1], ' ') AS ws
+  FROM (SELECT item, w, least(13, len(w)) AS l, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ls AS (SELECT DISTINCT l FROM bw),
+dw AS (SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS ws
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, ls WHERE len(w) >= l)),
+h AS (SELECT doc_id, i, dw.l, item FROM dw JOIN bw ON dw.l = bw.l AND dw.ws = bw.ws),
+p AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+""".replace("\\\\", "\\").replace("LOWER", _LOWER.format("text"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, and the random strings beside them."""
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL under the rules."""
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
@@ -49,8 +80,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
+    return {"op2_decontamination": op2_decontamination, "op4_secrets": op4_secrets, "op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": OP7_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_url_filters": OP7_SQL}

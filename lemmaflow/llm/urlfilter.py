@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 #: Rules of one host up to which the rule table is broadcast; a rule is two short strings and a verdict.
 BROADCAST_RULES = 50_000
-#: Distinct URL keys of one host that one sweep takes, in the mean.
-SWEEP_ROWS = 200_000
+#: Distinct URL keys of one host that one sweep takes, in the mean; more where the host has many rules, as each sweep reads them all.
+SWEEP_ROWS, SWEEP_RULES = 2_000, 10
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -74,7 +74,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     probes = urls.select("host", "path", F.explode(parents).alias("key"))
     probes = probes.join(F.broadcast(keys) if n_rules <= BROADCAST_RULES else keys, "key", "left_semi")
     # how many sweeps a key needs
-    sweeps = probes.groupBy("key").agg(F.ceil(F.count("*") / SWEEP_ROWS).cast("int").alias("sweeps"))
+    sweeps = probes.groupBy("key").agg(F.count("*").alias("n")).join(bounds.groupBy("key").agg(F.count("*").alias("b")), "key")
+    sweeps = sweeps.select("key", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP_ROWS), F.col("b") * SWEEP_RULES)).cast("int").alias("sweeps"))
     sweeps = F.broadcast(sweeps) if n_rules <= BROADCAST_RULES else sweeps
     dealt = probes.join(sweeps, "key").select(
         "key", F.pmod(F.xxhash64("path"), F.col("sweeps")).cast("int").alias("sweep"), F.col("path").cast("binary").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("top"), "host", "path"
