@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
 from .mixing import mix_sources
+from .quality import quality_rules
 from .secrets import secret_report
+from .simhash import near_duplicates
+from .toxicity import toxicity
 from .urlfilter import judge_urls, rule_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +57,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    near = near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL under the rules."""
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
@@ -74,13 +84,31 @@ FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every document."""
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in the mix of sources."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_decontamination": op2_decontamination, "op4_secrets": op4_secrets, "op7_url_filters": op7_url_filters, "op10_mixing": op10_mixing}
+    return {
+        "op2_decontamination": op2_decontamination,
+        "op4_secrets": op4_secrets,
+        "op5_simhash": op5_simhash,
+        "op7_url_filters": op7_url_filters,
+        "op8_quality": op8_quality,
+        "op9_toxicity": op9_toxicity,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
