@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
+from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources
 from .quality import quality_rules
 from .secrets import secret_report
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .toxicity import toxicity
 from .urlfilter import judge_urls, rule_table
+from .warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +31,11 @@ URL_RULES = [
 ]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that a document, or a line of it, is."""
+    return scan_licenses(table(spark, sf_dir, "documents"), known_digests(spark))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside 13-word windows of the benchmark."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
@@ -52,6 +60,32 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """.replace("\\\\", "\\").replace("LOWER", _LOWER.format("text"))
 
 
+def _op1_sql() -> str:
+    from .license_texts import KNOWN
+    from .licenses import SPELLINGS
+
+    flat = "regexp_replace(replace({}, '&', ' and '), '(^|\\n)[\\x20\\t#*/;-]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')".replace("\\\\", "\\")
+    flat = f"replace(' ' || regexp_replace({flat}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' ', chr(10), ' ' || chr(10) || ' ')"
+    for old, new in SPELLINGS:
+        flat = f"replace({flat}, ' {old} ', ' {new} ')"
+    lines = f"list_filter([trim(regexp_replace(x, ' +', ' ', 'g')) FOR x IN string_split({flat}, chr(10))], x -> x <> '')".replace("{}", _LOWER.format("coalesce(text, '')"))
+    known = ", ".join("('{}', '{}')".format(*(v.replace("'", "''") for v in row)) for row in KNOWN)
+    return f"""
+WITH k AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, min(license) AS license FROM (VALUES {known}) t(license, text) GROUP BY 1),
+d AS (SELECT doc_id, {lines} AS c FROM documents),
+w AS (SELECT doc_id, c, sha256(array_to_string(c, ' ')) AS text_digest FROM d),
+l AS (SELECT doc_id, count(*) AS n, list(license) AS names FROM (SELECT doc_id, sha256(x) AS digest, license FROM (SELECT doc_id, unnest(list_distinct(c)) AS x FROM d) JOIN k ON sha256(x) = k.digest) GROUP BY doc_id)
+SELECT doc_id, text_digest, k.license AS text_license, coalesce(n, 0) AS n_license_lines,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), CASE WHEN k.license IS NULL THEN [] ELSE [k.license] END))), ',') AS licenses
+FROM w LEFT JOIN k ON text_digest = k.digest LEFT JOIN l USING (doc_id)
+"""
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated strings of 400 bytes."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, and the random strings beside them."""
     return secret_report(table(spark, sf_dir, "documents"))
@@ -63,6 +97,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back in the order of captures."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host FROM pages)
+SELECT page_id, url, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
+  strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured,
+  coalesce(CASE WHEN host IS NOT NULL THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_extract(url, '://[^/?#]*(.*)$', 1) ELSE url END, '') AS url_key
+FROM p LEFT JOIN f ON p.digest = f.digest JOIN u USING (page_id)
+"""
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL under the rules."""
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
@@ -101,9 +152,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_decontamination": op2_decontamination,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_secrets": op4_secrets,
         "op5_simhash": op5_simhash,
+        "op6_warc": op6_warc,
         "op7_url_filters": op7_url_filters,
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
@@ -112,4 +166,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_url_filters": OP7_SQL}
+    return {"op1_licenses": _op1_sql(), "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL, "op7_url_filters": OP7_SQL}

@@ -22,3 +22,54 @@ def secrets_report(doc_id, text):
     kinds = ("assign", "access", "hex")
     joined = ",".join(f"{kinds[r]}:{a}:{b}" for a, r, b in spans)
     return (doc_id, *(sum(r == k for _, r, _ in spans) for k in range(3)), sha(joined))
+
+
+def fingerprint(text):
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(nodes, near):
+    """Smallest reachable node, for hashable nodes and a symmetric test."""
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ordered = sorted(nodes)
+    for i, a in enumerate(ordered):
+        for b in ordered[i + 1 :]:
+            if near(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def simhash(docs):
+    """{doc_id: (fingerprint, component)} of (doc_id, text) rows."""
+    prints = [(i, fingerprint(t)) for i, t in docs]
+    part = components({p for _, p in prints}, lambda a, b: (a ^ b).bit_count() <= 2)
+    first = {}
+    for i, p in prints:
+        first[part[p]] = min(first.get(part[p], i), i)
+    return {i: (f"{p:016x}", first[part[p]]) for i, p in prints}
+
+
+def quality(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    words = word.findall(text)
+    lines = [x for x in text.split("\n") if word.search(x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
