@@ -68,7 +68,7 @@ def _op1_sql() -> str:
     flat = f"replace(' ' || regexp_replace({flat}, '[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g') || ' ', chr(10), ' ' || chr(10) || ' ')"
     for old, new in SPELLINGS:
         flat = f"replace({flat}, ' {old} ', ' {new} ')"
-    lines = f"list_filter([trim(regexp_replace(x, ' +', ' ', 'g')) FOR x IN string_split({flat}, chr(10))], x -> x <> '')".replace("{}", _LOWER.format("coalesce(text, '')"))
+    lines = f"[y FOR y IN [trim(regexp_replace(x, ' +', ' ', 'g')) FOR x IN string_split({flat}, chr(10))] IF y <> '']".replace("{}", _LOWER.format("coalesce(text, '')"))
     known = ", ".join("('{}', '{}')".format(*(v.replace("'", "''") for v in row)) for row in KNOWN)
     return f"""
 WITH k AS (SELECT sha256(array_to_string({lines}, ' ')) AS digest, min(license) AS license FROM (VALUES {known}) t(license, text) GROUP BY 1),
