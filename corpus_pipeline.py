@@ -8,33 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmaflow.llm.common import shared_dir, table
-from lemmaflow.llm.decontaminate import find_contamination
+from lemmaflow.llm.decontaminate import drop_contaminated
 from lemmaflow.llm.mixing import mix_sources
 from lemmaflow.llm.secrets import redact_secrets
-from lemmaflow.llm.simhash import near_duplicates
-from lemmaflow.llm.toxicity import fit, score
+from lemmaflow.llm.simhash import drop_near_duplicates
+from lemmaflow.llm.toxicity import drop_toxic
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier of op9 doesn't reject (score under 0.7)."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs, model, keep=("text", *(c for c in docs.columns if c != "text")))
-    return scored.where("predicted = 0").select(docs.columns)
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of op5, the one with the smallest id. Texts without words are no copies of each other."""
-    near = near_duplicates(docs)
-    goes = near.where((F.col("print") != 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
-    return keep_rows(docs, goes)
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of op5, the one with the smallest id."""
+    return drop_near_duplicates(docs)
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op2 doesn't call contaminated by the benchmark."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return keep_rows(docs, found.where("contaminated").select("doc_id"))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,22 +37,14 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of op10: every document with its copies; those without a copy are out."""
-    return mix_sources(docs).where("copies > 0 or size = 0")
-
-
-def keep_rows(docs: DataFrame, goes: DataFrame, most: int = 500_000) -> DataFrame:
-    """``docs`` without the ids in ``goes``. Up to ``most`` ids (8 bytes each, counted) are broadcast; more are shuffled."""
-    from lemmaflow.llm.common import materialize
-
-    goes = materialize(goes.distinct(), "goes")
-    return docs.join(F.broadcast(goes) if goes.count() <= most else goes, "doc_id", "left_anti").select(docs.columns)
+    """The mix of op10: every document with its copies; those that give no word are out."""
+    return mix_sources(docs).where("taken > 0")
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
     ("secrets", redact),
     ("mixing", mix),
 ]

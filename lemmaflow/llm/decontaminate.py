@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialize
+from .common import ascii_lower, fresh, let, materialize
 
 #: What separates words: every ASCII character but digits and letters.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -53,12 +53,12 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, gram: int = GRAM, share: int = 20,
 ) -> DataFrame:
-    """``(id, n_words, n_hit, n_items, items_sha256, contaminated, items)``, a row for each row of ``docs``.
+    """``(id, k1, k2, n_words, n_hit, n_items, items_sha256, contaminated, items)``, a row for each row of ``docs``.
 
     A document word is hit inside any occurrence of ``window`` consecutive words of an item; an item of fewer
     words, but not none, is one window. ``contaminated``: hits, and ``share * n_hit >= n_words``. Null and
     empty texts have no words and no hits. Items with a null id or text are left out; equal texts under two
-    ids are two items. Rows repeated with their id and text each get their result. Other columns are not read.
+    ids are two items. Rows repeated with their id and text each get their result; ``(k1, k2)`` is a null-safe key of both. Other columns are not read.
 
     Plan: one pass over the texts keeps, for each window, the smallest k-gram hash (once per document and
     value) and joins it with the items' fingerprints. Only documents that share one are read again; there,
@@ -131,6 +131,14 @@ def _report(out: DataFrame, hits: DataFrame | None, id_col: str, share: int) ->
         out = out.join(hits, ["k1", "k2"], "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("id").alias(id_col), "k1", "k2", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items.alias("items"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that ``find_contamination`` calls contaminated."""
+    goes = materialize(find_contamination(docs, items, id_col, text_col, **options).where("contaminated").select("k1", "k2").distinct(), "goes")
+    k1, k2 = fresh(docs, "k1", "k2")
+    keyed = docs.withColumns({k1: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), k2: F.xxhash64(id_col, text_col)})
+    return keyed.join(_checked(goes.toDF(k1, k2), goes.count()), [k1, k2], "left_anti").select(docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialize
+from .common import fresh, let, materialize
 
 # Fixed values of the base scan: kind, pattern, group whose length counts, least length of it.
 BASE = [
@@ -182,8 +182,9 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     s = scan_secrets(docs, id_col, text_col).where(F.size("all") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "all")
     s = materialize(s, "redact")
     side = F.broadcast(s) if s.count() <= BROADCAST_ROWS else s
-    keyed = docs.withColumn("_k1", F.coalesce(F.col(id_col).cast("long"), F.lit(-1))).withColumn("_k2", F.xxhash64(id_col, text_col))
-    both = keyed.join(side.toDF("_k1", "_k2", "_spans"), ["_k1", "_k2"], "left")
+    k1, k2, spans = fresh(docs, "k1", "k2", "spans")
+    keyed = docs.withColumns({k1: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), k2: F.xxhash64(id_col, text_col)})
+    both = keyed.join(side.toDF(k1, k2, spans), [k1, k2], "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -192,5 +193,5 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = F.concat(x["out"], F.substr(text, x["at"] + 1, F.greatest(span["start"] - x["at"], F.lit(0))), F.lit(mark))
         return F.struct(F.greatest(x["at"], span["end"]).alias("at"), F.when(inside, x["out"]).otherwise(out).alias("out"))
 
-    clean = let(F.aggregate("_spans", start, cut), lambda x: F.concat(x["out"], F.substr(text, x["at"] + 1)))
-    return both.withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).select(docs.columns)
+    clean = let(F.aggregate(spans, start, cut), lambda x: F.concat(x["out"], F.substr(text, x["at"] + 1)))
+    return both.withColumn(text_col, F.when(F.col(spans).isNotNull(), clean).otherwise(text)).select(docs.columns)

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_value, connected_components, materialize
+from .common import by_value, connected_components, fresh, materialize
 
 SEED, SHINGLE = 42, 3
 #: Postings up to which a bucket's pairs are tallied; larger ones go by neighbours.
 POSTINGS = 32
+#: Rows of an id and a hash (16 bytes) up to which they are broadcast to the texts.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -38,13 +40,17 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.fromiter((fingerprint(t or b"") for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.record_batch([b.column(0), pa.array(prints.view(np.int64))], ["id", "print"])
+        yield pa.record_batch([*b.columns[:1], *b.columns[2:], pa.array(prints.view(np.int64))], ["id", "key", "print"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, print)``, the fingerprint as a bigint of the same bits; a row for each row of ``docs``."""
+    """``(id, key, print)``, the fingerprint as a bigint of the same bits; a row for each row of ``docs``.
+
+    ``key`` is a hash of id and text, so that with the id it names a row even if ids are repeated or null.
+    """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(_fingerprints, f"id {kind}, print bigint")
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("binary"), F.xxhash64(id_col, text_col))
+    return rows.mapInArrow(_fingerprints, f"id {kind}, key bigint, print bigint")
 
 
 def links(prints: DataFrame, bits: int = 2, postings: int = POSTINGS) -> DataFrame:
@@ -89,20 +95,42 @@ def links(prints: DataFrame, bits: int = 2, postings: int = POSTINGS) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """``(id, print, component_id)``, a row for each row of ``docs``.
+    """``(id, key, print, component_id, first)``, a row for each row of ``docs``.
 
     Documents whose fingerprints differ in at most ``bits`` bits are linked; a component has the smallest id in
     it. Equal fingerprints are one node of the graph, however many documents have it. Null and empty texts have
     fingerprint 0 and are linked like any others. A null id is no component's name unless all its ids are null.
-    Rows repeated stay. Other columns are not read.
+    Rows repeated stay. Other columns are not read. ``first``: the row is the component's first by id, and then
+    by ``key``; rows repeated with id and text are first together.
     """
     p = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(p.groupBy("print").agg(F.min("id").alias("first")), "nodes")
+    one = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    nodes = materialize(p.groupBy("print").agg(F.min(one).alias("one")), "nodes")
     parts = materialize(connected_components(links(nodes.select("print"), bits)), "parts")
-    node = nodes.join(parts, nodes["print"] == parts["node"], "left").select("print", "first", F.coalesce("component", "print").alias("component"))
-    names = node.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = node.join(names, "component").select("print", "component_id")
-    return p.join(named, "print").select(F.col("id").alias(id_col), "print", "component_id")
+    node = nodes.join(parts, nodes["print"] == parts["node"], "left").select("print", "one", F.coalesce("component", "print").alias("component"))
+    names = node.groupBy("component").agg(F.min("one").alias("leader"))
+    named = node.join(names, "component").select("print", "leader")
+    first = (F.col("key") == F.col("leader.key")) & F.col("id").eqNullSafe(F.col("leader.id"))
+    return p.join(named, "print").select(F.col("id").alias(id_col), "key", "print", F.col("leader.id").alias("component_id"), first.alias("first"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: the first by id, then by a hash of the text."""
+    near = materialize(near_duplicates(docs, id_col, text_col, bits), "near")
+    row, of_id, of_key = fresh(docs, "row", "of_id", "of_key")
+    goes = near.where(~F.col("first")).select(F.col(id_col).alias(of_id), F.col("key").alias(of_key)).distinct()
+    same = near.where("first").groupBy(F.col(id_col).alias(of_id), F.col("key").alias(of_key)).agg(F.count("*").alias("n")).where("n > 1").select(of_id, of_key)
+    goes, same = materialize(goes, "goes"), materialize(same, "same")
+
+    def side(d: DataFrame) -> DataFrame:
+        return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+
+    keyed = docs.withColumn(row, F.xxhash64(id_col, text_col))
+    of = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(row) == F.col(of_key))
+    kept = keyed.join(side(goes), of, "left_anti")
+    if not same.isEmpty():  # rows repeated with id and text: any of them
+        kept = kept.join(side(same), of, "left_anti").unionByName(kept.join(side(same), of, "left_semi").dropDuplicates([id_col, row]))
+    return kept.select(docs.columns)
 
 
 by_value(__name__)

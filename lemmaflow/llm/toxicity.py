@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_value, materialize
 
@@ -263,19 +264,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(lexicons[-1], Trees().fit(x, y), isotonic(out, y), ones / n)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, score, predicted)`` and the columns of ``keep``, a row for each row of ``docs``, in one pass without a shuffle."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+    """``(row, score, predicted)`` for each row of ``docs``, ``row`` being its columns or those to ``keep``; one pass without a shuffle."""
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.learned)
         for b in batches:
             x = np.array([reader.features(t or b"") for t in b.column(0).to_pylist()]).reshape(-1, len(FEATURES))
             s = np.clip(model.scores(x), 0.0, 1.0)
-            yield pa.record_batch([*b.columns[1:], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names[1:], "score", "predicted"])
+            yield pa.record_batch([b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
-    cols = docs.select(id_col, *(c for c in keep if c != id_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema) + ", score double, predicted int"
-    return docs.select(F.col(text_col).cast("binary").alias("_bytes"), *cols.columns).mapInArrow(scores, schema)
+    packed = docs.select(F.col(text_col).cast("binary").alias("bytes"), F.struct(*(keep or docs.columns)).alias("row"))
+    schema = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return packed.mapInArrow(scores, schema)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows whose score is ``threshold`` or more."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    return score(docs, model, text_col, threshold).where("predicted = 0").select("row.*")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
@@ -287,7 +294,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     from. Labels other than 0 and 1 are ignored; of contradicting labels 1 counts. Repeated rows stay.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
-    s = score(docs, model, id_col, text_col, threshold)
+    s = score(docs, model, text_col, threshold, [id_col]).select(F.col("row")[id_col].alias(id_col), "score", "predicted")
     return s.select(id_col, held_out_column(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
