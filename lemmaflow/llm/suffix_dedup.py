@@ -18,8 +18,8 @@ LENGTH, GRAM = 400, 64
 CHUNK = 1 << 19
 #: Distinct contexts of a bucket that one task refines; larger buckets are split first. Bytes of contexts refined at once.
 CONTEXTS, BLOCK = 2_000, 3 << 20
-#: Documents up to which their short lists of places are broadcast to the texts instead of shuffling texts.
-BROADCAST_DOCS = 200_000
+#: Places (under 40 bytes each, in all documents) up to which they are broadcast to the texts instead of shuffling texts.
+BROADCAST_PLACES = 1_000_000
 
 _SPAN = "k1 bigint, k2 bigint, start int, end int"
 
@@ -221,8 +221,9 @@ def _split_refine(contexts: DataFrame, length: int) -> DataFrame:
     return done
 
 
-def _with_texts(texts: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    return texts.join(F.broadcast(side) if side.count() <= BROADCAST_DOCS else side, ["k1", "k2"], how)
+def _with_texts(texts: DataFrame, side: DataFrame, places: str, how: str) -> DataFrame:
+    n = side.agg(F.sum(F.size(places) + 1)).first()[0] or 0
+    return texts.join(F.broadcast(side) if n <= BROADCAST_PLACES else side, ["k1", "k2"], how)
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = distinct.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "place", "first", "last", "n_contexts")).alias("runs"))
     wanted = materialize(wanted, "wanted")
     # of rows with one key any text will do, and their contexts must come once: the key's texts are equal
-    fetched = _with_texts(texts.select("k1", "k2", "text"), wanted, "inner").select("k1", "k2", "text", F.inline("runs"))
+    fetched = _with_texts(texts.select("k1", "k2", "text"), wanted, "runs", "inner").select("k1", "k2", "text", F.inline("runs"))
     fetched = fetched.select("h", "k1", "k2", "place", "first", "last", "n_contexts", F.substring("text", F.col("first") + 1, F.col("last") - F.col("first") + length).alias("text"))
     fetched = materialize(fetched, "contexts")
     small = fetched.where(F.col("n_contexts") <= contexts).select("h", "k1", "k2", "first", "text")
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = materialize(repeated_spans(docs, id_col, text_col, length, gram, contexts), "spans")
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    joined = _with_texts(_keyed(docs, id_col, text_col), spans, "left").select("id", "text", "starts", "ends")
+    joined = _with_texts(_keyed(docs, id_col, text_col), spans, "starts", "left").select("id", "text", "starts", "ends")
     out = joined.mapInArrow(_cutter, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
