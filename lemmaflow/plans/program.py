@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import literal as literal_rows
-from ..sources.tables import materialize, scratch_path
+from ..sources.tables import discard, scratch_path, store
 from .compile import apply_rule, join_body, scan
 from .strata import stratify
 from .terms import And, Body, Combine, Literal, Rule, Var, expand, row
@@ -241,6 +241,7 @@ class Program:
         paths = {n: scratch_path(spark, f"fix-{n}") for n in names}
         schemas = {n: self.relations[n].schema for n in names}
         whole: dict[str, DataFrame] = {}
+        merged: dict[str, str] = {}  # where a value relation's latest table is
         delta: dict[str, DataFrame | None] = {}
 
         def stored(n: str, k: int) -> DataFrame:
@@ -294,8 +295,13 @@ class Program:
                 rel = self.relations[n]
                 if rel.value is None:
                     whole[n] = stored(n, k)
+                elif rel.merge == "first":
+                    whole[n] = stored(n, k)
                 elif fresh[n] is not None:
-                    whole[n] = materialize(rel.normal(whole[n].unionByName(fresh[n])), f"fix-{n}") if rel.merge != "first" else stored(n, k)
+                    whole[n], path = store(rel.normal(whole[n].unionByName(fresh[n])), f"fix-{n}")
+                    if n in merged:
+                        discard(spark, merged[n])
+                    merged[n] = path
                 delta[n] = fresh[n]
         raise RuntimeError(f"no fixed point of {', '.join(names)} within {self.max_rounds} rounds")
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .functions import bitmaps, sequences, words
 from .operators import bitvectors, stats, zorder
 from .operators import sequences as long_sequences
+from .operators.ordered import following
 from .plans.program import Program
 from .plans.terms import no, row, variables
 from .sources.tables import literal, parquet
@@ -60,9 +61,9 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the user of one rare error event to the next one's: a cyclic weighted graph, weights in cents."""
     e = parquet(spark, sf_dir, "events").where("event_type = 'error' and value > 100").select("ts", "event_id", "user_id", "value")
-    by = Window.orderBy("ts", "event_id")  # few rows: the events that the filter leaves
-    e = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(by).alias("dst"), F.lead("value").over(by).alias("v"))
-    return e.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.round(F.min("v") * 100).cast("long").alias("w"))
+    e = following(e, ["ts", "event_id"], {"dst": "user_id", "v": "value"}, F.date_trunc("day", F.col("ts").cast("timestamp")))
+    e = e.withColumnRenamed("user_id", "src").where("dst is not null and src <> dst")
+    return e.groupBy("src", "dst").agg(F.round(F.min("v") * 100).cast("long").alias("w"))
 
 
 def _closure(spark: SparkSession, edges: DataFrame, kind: str):

@@ -33,11 +33,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back: the lineage ends there."""
-    path = path or scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes the rows as Parquet in the shared folder; returns the table read back, and its path.
+
+    The lineage ends there: what an executor loses is read again, not computed again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``store`` without the path, for tables that results go on reading."""
+    return store(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bit_words(spark: SparkSession, path: str) -> DataFrame:
