@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import discard, materialize, parquet, store
+from ..sources.tables import scratch_dir as shared_dir
+
+__all__ = ["WORD", "ascii_lower", "by_value", "connected_components", "fresh", "let", "materialize", "shared_dir", "table"]
+
 #: A word of the whitespace-separated kind, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder, by whatever file system the path names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = parquet
 
 
 def ascii_lower(c: Column) -> Column:
@@ -36,31 +37,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` of the session; where that is unset (tests on one machine), a local folder,
-    or on a cluster the warehouse, which is shared by definition.
-    """
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "file:///tmp/checkpoints/lemmaflow"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows once as Parquet in the shared folder and reads them back.
-
-    Cuts the lineage, so that a lost executor costs a reread of files and not a rerun of what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an undirected graph; the component is its smallest node.
 
@@ -73,7 +49,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    e = materialize(e, "cc")
+    e, path = store(e, "components")
 
     def state(d: DataFrame) -> tuple:
         return tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -88,8 +64,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small star: every node's smaller neighbours, and itself, point at the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m")))
-        e = materialize(small.where("u != v").distinct(), "cc")
-        after = state(e)
+        e, later = store(small.where("u != v").distinct(), "components")
+        discard(e.sparkSession, path)
+        path, after = later, state(e)
         if after == before:
             break
         before = after
