@@ -52,7 +52,7 @@ class Reader:
 
     def reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.facts: list[tuple] = []
+        self.table = np.zeros((1 << 12, 6), np.float32)  # grows by doubling
 
     def look(self, word: bytes) -> tuple:
         low = word.lower().strip(_EDGE)
@@ -75,13 +75,13 @@ class Reader:
         except KeyError:
             for w in set(words):
                 if w not in number:
+                    if len(number) == len(self.table):
+                        self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                    self.table[len(number)] = self.look(w)
                     number[w] = len(number)
-                    self.facts.append(self.look(w))
             ids = list(map(number.__getitem__, words))
         if not n:
             return [0.0] * len(FEATURES)
-        if not hasattr(self, "table") or len(self.table) != len(self.facts):
-            self.table = np.array(self.facts, np.float32)
         f = self.table[np.array(ids)]
         total = f.sum(0, dtype=np.float64)
         bad = np.flatnonzero((f[:, 0] > 0) | (f[:, 1] > 0))
@@ -203,8 +203,7 @@ def _featurizer(readers: Callable[[], list[Reader]]):
         for b in batches:
             ids, texts, toxic, folds = (b.column(k).to_pylist() for k in range(4))
             rows = [made[f].features(t or b"") for t, f in zip(texts, folds, strict=True)]
-            whole = [made[-1].features(t or b"") for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(folds, pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(whole, pa.list_(pa.float64()))], ["id", "toxic", "fold", "x", "whole"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(folds, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["id", "toxic", "fold", "x"])
 
     return features
 
@@ -253,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         kept = [f for f in range(FOLDS) if f != left_out]
         of = [float(sum(sizes.get((f, t), 0) for f in kept)) for t in (0, 1)]
         lexicons.append(_lexicon({bytes(r.word): [float(sum(r[f"c{t}_{f}"] for f in kept)) for t in (0, 1)] for r in telling}, of))
-    found = rows.select("id", "text", "toxic", "fold").mapInArrow(_featurizer(lambda: [Reader(x) for x in lexicons]), "id bigint, toxic int, fold int, x array<double>, whole array<double>")
+    found = rows.select("id", "text", "toxic", "fold").mapInArrow(_featurizer(lambda: [Reader(x) for x in lexicons[:-1]]), "id bigint, toxic int, fold int, x array<double>")
     found = found.orderBy("id").collect()  # at most `sample` rows of a few numbers
     x, y, fold = np.array([r.x for r in found]), np.array([r.toxic for r in found], float), np.array([r.fold for r in found])
     out = np.zeros(len(y))
