@@ -13,7 +13,7 @@ from .common import by_value
 
 # Fixed thresholds, published for MassiveText (Rae et al., 2021, table A1): the largest share of characters in ...
 TOP_NGRAM = {2: 0.20, 3: 0.18, 4: 0.16}  # the most frequent n-gram
-DUPLICATE_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}  # n-grams found twice or more
+DUPLICATE_NGRAMS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}  # n-grams found before
 DUPLICATE_LINES = 0.20  # lines equal to an earlier one
 
 _WHITE = np.zeros(256, bool)
@@ -101,7 +101,8 @@ def measure(text: bytes) -> tuple:
             mass = np.where(count > 1, count * (before[first + size] - before[first]), 0)
             top_excess = max(top_excess, float(mass.max()) / word_chars / TOP_NGRAM[size])
         if size in DUPLICATE_NGRAMS:
-            share = float(lengths[_covered(n, repeated, size)].sum()) / word_chars
+            later = starts[order[~fresh]]  # a text that says a thing twice says half of it again
+            share = float(lengths[_covered(n, later, size)].sum()) / word_chars
             dup_excess = max(dup_excess, share / DUPLICATE_NGRAMS[size])
     return n, word_chars, n_symbols, n_dup_lines, repeat_words, dup_line_share, top_excess, dup_excess
 
@@ -120,8 +121,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``n_dup_lines``, lines with a word that equal an earlier line; ``n_repeat_words``, words in 3-word windows
     found twice or more. ``base_failed``: fewer than ``min_words`` words or more than ``max_repeat`` per cent
     repeated. Otherwise ``kept`` is the verdict of the repetition coverage: rolling hashes of 2 to 10 words mark
-    n-grams found twice or more, and the characters in the most frequent one, in all of them, and in duplicate
-    lines are held against the thresholds above. ``*_excess``: the largest quotient of share and threshold.
+    n-grams found twice or more, and the characters in the most frequent one, in all repeats of earlier ones, and in
+    duplicate lines are held against the thresholds above. ``*_excess``: the largest quotient of share and threshold.
 
     Null and empty texts have no words and fail. Repeated rows stay. Other columns are not read. One pass
     without a shuffle; memory is some 100 bytes for each word of the longest text.
