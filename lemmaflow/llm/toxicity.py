@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,14 +25,16 @@ dumm dummkopf trottel abschaum widerlich erbarmlich wertlos arschloch scheisse
 SECOND_PERSON = "you your yours yourself u ur tu te ti tus usted ustedes vous votre vos toi ton du dich dir dein deine ihr euch".split()
 _LEET = bytes.maketrans(b"0134578@$!", b"oieastbasi")
 
-#: Labelled rows that a fit reads at most: those with the smallest hash of their id. Words of the learned lexicon at most.
+#: Labelled rows that a fit reads at most: those with the smallest hash of their id. Words of the learned lexicon at most, and beginnings of words.
 SAMPLE, LEXICON = 20_000, 2_000
+#: Letters of the word beginnings that are learned like words, and mark them: invented and inflected forms share those.
+STEMS, STEM = range(3, 9), b"^"
 #: Least documents of a word in the lexicon, and least log-odds of it.
 MIN_DOCS, MIN_ODDS = 3, 1.5
 FOLDS = 4
 FEATURES = [
     "log_words", "insults", "insults_per_word", "learned", "learned_per_word", "learned_sum", "learned_max", "near_you", "you_per_word",
-    "capitals", "shouted_words", "exclaims", "punctuation", "obfuscated_per_word", "obfuscated_hits",
+    "capitals", "shouted_words", "exclaims", "punctuation", "obfuscated_per_word", "obfuscated_hits", "stems", "stems_sum", "stems_per_word",
 ]
 NEAR = 5  # words between a lexicon word and a second-person word, at most
 
@@ -39,6 +42,12 @@ _BARE = re.compile(rb"[^a-z0-9\x80-\xff]+")
 _EDGE = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b"@$")
 
 
+def _stems(low: bytes) -> list[bytes]:
+    """The word's beginnings, short of the whole."""
+    letters = low.decode(errors="replace")
+    return [STEM + letters[:k].encode() for k in STEMS if k < len(letters)]
+
+
 class Reader:
     """Turns texts into features, looking each distinct word up once. Memory: MOST words, then it starts anew."""
 
@@ -52,7 +61,7 @@ class Reader:
 
     def reset(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 12, 6), np.float32)  # grows by doubling
+        self.table = np.zeros((1 << 12, 7), np.float32)  # grows by doubling
 
     def look(self, word: bytes) -> tuple:
         low = word.lower().strip(_EDGE)
@@ -60,9 +69,10 @@ class Reader:
         odd = plain != low and len(plain) >= 3 and any(97 <= c < 123 for c in low)
         insult = low in self.insults or plain in self.insults
         odds = max(self.learned.get(low, 0.0), self.learned.get(plain, 0.0))
+        stem = max((self.learned.get(w, 0.0) for w in _stems(low)), default=0.0)
         letters = [c for c in word if 65 <= c < 91 or 97 <= c < 123]
         shouted = len(letters) >= 3 and all(c < 91 for c in letters)
-        return insult, odds, low in self.you, shouted, odd, odd and (insult or odds > 0)
+        return insult, odds, low in self.you, shouted, odd, odd and (insult or odds > 0), stem
 
     def features(self, text: bytes) -> list[float]:
         words = text.split()
@@ -97,7 +107,7 @@ class Reader:
         marks = int(((data > 32) & (data < 127)).sum()) - upper - lower
         return [
             np.log1p(n), total[0], total[0] / n, float((f[:, 1] > 0).sum()), float((f[:, 1] > 0).sum()) / n, total[1], float(f[:, 1].max()), near, total[2] / n,
-            upper / (upper + lower + 1), total[3] / n, text.count(b"!") / n, marks / len(data), total[4] / n, total[5],
+            upper / (upper + lower + 1), total[3] / n, text.count(b"!") / n, marks / len(data), total[4] / n, total[5], float((f[:, 6] > 0).sum()), total[6], total[6] / n,
         ]
 
 
@@ -189,12 +199,16 @@ class Model:
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each batch with a word or a beginning, by label and fold."""
     for b in batches:
+        counts: Counter[tuple[bytes, int, int]] = Counter()
         for text, toxic, fold in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            found = {w.lower().strip(_EDGE) for w in set((text or b"").split())}
-            found = sorted(w for w in found if 2 < len(w) <= 40)
-            if found:
-                yield pa.record_batch([pa.array(found, pa.binary()), pa.array([toxic] * len(found), pa.int32()), pa.array([fold] * len(found), pa.int32())], ["word", "toxic", "fold"])
+            words = {w.lower().strip(_EDGE) for w in set((text or b"").split())}
+            words = {w for w in words if 2 < len(w) <= 40}
+            counts.update((w, toxic, fold) for w in words.union(*map(_stems, words)))
+        if counts:
+            words, toxic, fold = zip(*counts, strict=True)
+            yield pa.record_batch([pa.array(words, pa.binary()), pa.array(toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "toxic", "fold", "n"])
 
 
 def _featurizer(readers: Callable[[], list[Reader]]):
@@ -215,7 +229,9 @@ def _lexicon(counts: dict[bytes, list[float]], docs: list[float]) -> dict[bytes,
         odds = float(np.log((toxic + 0.5) / (docs[1] + 1.0)) - np.log((clean + 0.5) / (docs[0] + 1.0)))
         if toxic >= MIN_DOCS and odds >= MIN_ODDS:
             scored.append((-odds * np.sqrt(toxic), word, odds))
-    return {w: o for _, w, o in sorted(scored)[:LEXICON]}
+    scored.sort()
+    both = [[x for x in scored if x[1].startswith(STEM) == stem][:LEXICON] for stem in (False, True)]
+    return {w: o for part in both for _, w, o in part}
 
 
 def held_out_column(c):
@@ -240,13 +256,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not ones or ones == n:
         return Model({}, None, (np.zeros(1), np.zeros(1)), ones / n if n else 0.5)
 
-    words = rows.select("id", "text", "toxic", "fold").mapInArrow(_distinct_words, "word binary, toxic int, fold int")
-    per_fold = [F.count_if((F.col("toxic") == t) & (F.col("fold") == f)).alias(f"c{t}_{f}") for t in (0, 1) for f in range(FOLDS)]
+    words = rows.select("id", "text", "toxic", "fold").mapInArrow(_distinct_words, "word binary, toxic int, fold int, n bigint")
+    per_fold = [F.coalesce(F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("n"))), F.lit(0)).alias(f"c{t}_{f}") for t in (0, 1) for f in range(FOLDS)]
     counts = words.groupBy("word").agg(*per_fold)
     toxic, clean = (sum((F.col(f"c{t}_{f}") for f in range(FOLDS)), F.lit(0)) for t in (1, 0))
     # words that could pass in all data or without one fold, the most telling first: a bounded list
     odds = F.log((toxic + 0.5) / (ones + 1.0)) - F.log((clean + 0.5) / (n - ones + 1.0))
-    telling = counts.where((toxic >= MIN_DOCS) & (odds >= MIN_ODDS / 2)).orderBy(F.desc(odds * F.sqrt(toxic)), "word").limit(4 * LEXICON).collect()
+    telling = counts.where((toxic >= MIN_DOCS) & (odds >= MIN_ODDS / 2)).orderBy(F.desc(odds * F.sqrt(toxic)), "word")
+    stem = F.substring("word", 1, 1) == F.lit(STEM)
+    telling = [r for part in (telling.where(~stem), telling.where(stem)) for r in part.limit(2 * LEXICON).collect()]
     lexicons = []
     for left_out in [*range(FOLDS), None]:
         kept = [f for f in range(FOLDS) if f != left_out]
