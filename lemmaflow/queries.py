@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import bitmaps, sequences, words
-from .operators import bitvectors, stats, zorder
+from .operators import bitvectors, stats, wavelets, zorder
 from .operators import sequences as long_sequences
 from .operators.ordered import following
 from .plans.program import Program
@@ -600,6 +600,39 @@ def zorder_key(spark, sf_dir):
     return zorder.cluster(parquet(spark, sf_dir, "part").select("p_partkey", "p_size"), [zorder.Key("p_size", 6), zorder.Key("p_partkey", 12)]).select("p_partkey", z.alias("z"))
 
 
+# Wavelets: parts by size, 6 bits
+
+_HAAR = """t AS (SELECT p_size::BIGINT AS k, count(*) AS v FROM part WHERE p_size BETWEEN 0 AND 63 GROUP BY 1),
+c AS (SELECT l AS level, k // (1 << l) AS block, CAST(sum(CASE WHEN l > 6 OR (k // (1 << (l - 1))) % 2 = 0 THEN v ELSE -v END) AS BIGINT) AS diff FROM t, (SELECT unnest(range(1, 8)) AS l) GROUP BY 1, 2 HAVING diff <> 0)"""
+
+
+@query(f"WITH {_HAAR} SELECT * FROM c")
+def haar_coefficients(spark, sf_dir):
+    return wavelets.coefficients(parquet(spark, sf_dir, "part"), "p_size", 6)
+
+
+@query(f"""WITH {_HAAR}, s AS (SELECT * FROM c WHERE level > 6 UNION ALL (SELECT * FROM c WHERE level <= 6 ORDER BY abs(diff) / sqrt(pow(2.0, level)) DESC, level, block LIMIT 10)),
+r(lo, hi) AS (VALUES (0, 64), (0, 10), (7, 33), (40, 41)),
+e AS (SELECT lo, hi, sum(diff * CASE WHEN level > 6 THEN hi - lo ELSE greatest(least(hi, block * w + w // 2) - greatest(lo, block * w), 0) - greatest(least(hi, block * w + w) - greatest(lo, block * w + w // 2), 0) END / w) AS estimate
+  FROM r, (SELECT *, 1 << least(level, 6) AS w FROM s) GROUP BY 1, 2)
+SELECT lo, hi, round(estimate, 3) AS estimate, (SELECT coalesce(sum(v), 0)::BIGINT FROM t WHERE k >= lo AND k < hi) AS actual FROM e""")
+def haar_estimate(spark, sf_dir):
+    """Sums over ranges from ten coefficients, beside the true ones."""
+    part = parquet(spark, sf_dir, "part")
+    sketch = wavelets.keep_largest(wavelets.coefficients(part, "p_size", 6), 10, 6)
+    r = wavelets.estimate_ranges(sketch, literal(spark, [(0, 64), (0, 10), (7, 33), (40, 41)], "lo bigint, hi bigint"), 6)
+    sizes = part.groupBy("p_size").agg(F.count("*").alias("n"))
+    r = r.join(sizes, (F.col("p_size") >= F.col("lo")) & (F.col("p_size") < F.col("hi")), "left").groupBy("lo", "hi", "estimate").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("actual"))
+    return r.select("lo", "hi", F.round("estimate", 3).alias("estimate"), "actual")
+
+
+@query("""WITH t AS (SELECT p_size::BIGINT AS k, max(p_retailprice) AS v FROM part WHERE p_size BETWEEN 0 AND 63 GROUP BY 1)
+SELECT l AS level, k // (1 << l) AS block, max(v) AS max, round(max(v) FILTER (WHERE l > 0 AND (k // (1 << greatest(l - 1, 0))) % 2 = 1) - max(v) FILTER (WHERE l > 0 AND (k // (1 << greatest(l - 1, 0))) % 2 = 0), 4) AS delta
+FROM t, (SELECT unnest(range(0, 7)) AS l) GROUP BY 1, 2""")
+def haar_max(spark, sf_dir):
+    return _rounded(wavelets.max_sketch(parquet(spark, sf_dir, "part"), "p_size", 6, F.col("p_retailprice")))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: everything each order, customer, supplier and nation belongs to."""
     return dl_tc_hier(spark, "/root/testdata/sf0.001")
