@@ -20,6 +20,8 @@ CHUNK = 1 << 19
 CONTEXTS, BLOCK = 2_000, 3 << 20
 #: Places (under 40 bytes each, in all documents) up to which they are broadcast to the texts instead of shuffling texts.
 BROADCAST_PLACES = 1_000_000
+#: Counted digests (under 120 bytes each) up to which they are broadcast.
+BROADCAST_COUNTS = 200_000
 
 _SPAN = "k1 bigint, k2 bigint, start int, end int"
 
@@ -205,10 +207,12 @@ def _split_refine(contexts: DataFrame, length: int) -> DataFrame:
 
         cells = cells.withColumn("core", digest(F.col("lo"), F.col("hi"))).withColumn("whole", digest(F.col("hi_in"), F.col("lo_in")))
         cells = materialize(cells, "cells")
-        cores = cells.groupBy("h", "lo", "core").agg(F.count("*").alias("n")).where("n > 1").select("h", "lo", "core")
+        # counts are tables of their own: few are broadcast, and of many a join can split the key that most cells have
+        cores = materialize(cells.groupBy("h", "lo", "core").agg(F.count("*").alias("n")).where("n > 1").select("h", "lo", "core"), "cores")
         me = F.struct("k1", "k2", "place", "first")
         wholes = cells.groupBy("h", "lo_in", "hi_in", "whole").agg(F.count("*").alias("n_whole"), F.min(me).alias("one")).where("n_whole > 1")
-        met = cells.join(cores, ["h", "lo", "core"]).join(wholes, ["h", "lo_in", "hi_in", "whole"], "left")
+        wholes = materialize(wholes, "wholes")
+        met = cells.join(_checked(cores), ["h", "lo", "core"]).join(_checked(wholes), ["h", "lo_in", "hi_in", "whole"], "left")
         met = materialize(met, "met")
         out = met.where("n_whole > 1").select("k1", "k2", (F.col("place") - F.col("hi_in")).alias("start"), (F.col("place") - F.col("lo_in") + length).alias("end"))
         done = out if done is None else done.union(out)
@@ -221,6 +225,10 @@ def _split_refine(contexts: DataFrame, length: int) -> DataFrame:
     return done
 
 
+def _checked(counts: DataFrame) -> DataFrame:
+    return F.broadcast(counts) if counts.count() <= BROADCAST_COUNTS else counts
+
+
 def _with_texts(texts: DataFrame, side: DataFrame, places: str, how: str) -> DataFrame:
     n = side.agg(F.sum(F.size(places) + 1)).first()[0] or 0
     return texts.join(F.broadcast(side) if n <= BROADCAST_PLACES else side, ["k1", "k2"], how)
