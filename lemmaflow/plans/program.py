@@ -240,6 +240,14 @@ class Program:
         spark = self.spark
         paths = {n: scratch_path(spark, f"fix-{n}") for n in names}
         schemas = {n: self.relations[n].schema for n in names}
+        static: dict[str, tuple[DataFrame, str]] = {}
+
+        def fixed(lit: Literal, number: int) -> DataFrame:
+            # what the rounds read again and again is computed once
+            if lit.relation not in static:
+                static[lit.relation] = store(lower(lit, number), f"base-{lit.relation}")
+            return static[lit.relation][0]
+
         whole: dict[str, DataFrame] = {}
         merged: dict[str, str] = {}  # where a value relation's latest table is
         delta: dict[str, DataFrame | None] = {}
@@ -256,6 +264,8 @@ class Program:
         for k in range(1, self.max_rounds + 1):
             if not any(d is not None for d in delta.values()):
                 self.rounds.update(dict.fromkeys(names, k - 1))
+                for _, path in static.values():
+                    discard(spark, path)
                 return whole
             fresh: dict[str, DataFrame | None] = {}
             for n in names:
@@ -268,7 +278,7 @@ class Program:
 
                         def side(x: Literal, number: int, i: int = i) -> DataFrame:
                             if x.relation not in names:
-                                return lower(x, number)
+                                return fixed(x, number)
                             return delta[x.relation] if number == i else whole[x.relation]
 
                         parts.append(apply_rule(r, side, columns, value_of).select(*schemas[n].names))
