@@ -176,8 +176,12 @@ class Program:
         hands these positions through unchanged, nothing else is derived on the way.
         """
         name = relation if isinstance(relation, str) else relation.name
+        df = self._rows(name, bound or {})
+        return df.distinct() if self.relations[name].value is None else df
+
+    def _rows(self, name: str, bound: dict[int, Any]) -> DataFrame:
+        """The relation's rows; facts of a relation without values and rules may repeat, as every head is distinct later."""
         self.validate()
-        bound = bound or {}
         strata = stratify(self.rules)
         mine = next((s for s in strata if name in s[0]), None)
         rel = self.relations[name]
@@ -203,7 +207,8 @@ class Program:
         mine = next((s for s in strata if name in s[0]), None)
         rel = self.relations[name]
         if mine is None:
-            self._known[key] = rel.normal(rel.base(self.spark))
+            base = rel.base(self.spark)
+            self._known[key] = base if rel.value is None else rel.normal(base)
             return self._known[key]
         names, rules, recursive = mine
         flat = [a for r in rules for a in r.alternatives()]
@@ -245,7 +250,8 @@ class Program:
         def fixed(lit: Literal, number: int) -> DataFrame:
             # what the rounds read again and again is computed once
             if lit.relation not in static:
-                static[lit.relation] = store(lower(lit, number), f"base-{lit.relation}")
+                side = lower(lit, number)
+                static[lit.relation] = store(side if value_of(lit.relation) else side.distinct(), f"base-{lit.relation}")
             return static[lit.relation][0]
 
         whole: dict[str, DataFrame] = {}
@@ -335,7 +341,7 @@ class Program:
     def _answers(self, body: Body) -> DataFrame:
         def relation(lit: Literal, _: int) -> DataFrame:
             constants = {k: a for k, a in enumerate(lit.args) if not isinstance(a, Var)}
-            return self.evaluate(lit.relation, constants)
+            return self._rows(lit.relation, constants)
 
         need = list(dict.fromkeys(v for x in body.literals() if not x.negated for v in x.own_vars()))
         columns, value_of = (lambda n: self.relations[n].keys), (lambda n: self.relations[n].value)
