@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,11 +262,15 @@ class Program:
             # set relations only grow: every round adds a folder and all folders are the relation
             return spark.read.schema(schemas[n]).parquet(*(f"{paths[n]}/{i}" for i in range(k + 1)))
 
+        def write(df: DataFrame, path: str) -> DataFrame | None:
+            """Writes the rows and counts them on the way; None if there are none."""
+            seen = Observation()
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path) if seen.get["n"] else None
+
         for n in names:
-            first = start(n).select(*schemas[n].names)
-            first.write.parquet(f"{paths[n]}/0")
+            delta[n] = write(start(n).select(*schemas[n].names), f"{paths[n]}/0")
             whole[n] = stored(n, 0)
-            delta[n] = None if whole[n].isEmpty() else whole[n]
         for k in range(1, self.max_rounds + 1):
             if not any(d is not None for d in delta.values()):
                 self.rounds.update(dict.fromkeys(names, k - 1))
@@ -304,9 +308,7 @@ class Program:
                     new = new.join(old, rel.keys, "left")
                     better = {"min": F.col(rel.value) < F.col("_old"), "max": F.col(rel.value) > F.col("_old"), "or": F.col(rel.value) & ~F.col("_old"), "and": ~F.col(rel.value) & F.col("_old"), "first": F.lit(False)}[rel.merge]
                     new = new.where(F.col("_old").isNull() | better).select(*schemas[n].names)
-                new.write.parquet(f"{paths[n]}/{k}")
-                got = spark.read.schema(schemas[n]).parquet(f"{paths[n]}/{k}")
-                fresh[n] = None if got.isEmpty() else got
+                fresh[n] = write(new, f"{paths[n]}/{k}")
             for n in names:
                 rel = self.relations[n]
                 if rel.value is None:
@@ -336,7 +338,15 @@ class Program:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.distinct()
+        return out if len(parts) == 1 and self._is_set(goal) else out.distinct()
+
+    def _is_set(self, goal: Body) -> bool:
+        """Whether the goal is one literal over a derived or merged relation, each variable in one place: distinct as it is."""
+        if not isinstance(goal, Literal) or len(set(goal.own_vars())) < len(goal.own_vars()) or not goal.own_vars():
+            return False
+        rel = self.relations[goal.relation]
+        derived = any(r.head.relation == goal.relation for r in self.rules)
+        return (derived or rel.value is not None) and (rel.value is None or goal.row) and rel.make_row is None
 
     def _answers(self, body: Body) -> DataFrame:
         def relation(lit: Literal, _: int) -> DataFrame:
