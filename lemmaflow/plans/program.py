@@ -186,8 +186,10 @@ class Program:
         mine = next((s for s in strata if name in s[0]), None)
         rel = self.relations[name]
         seed: dict[int, Any] = {}
-        if mine and mine[2] and len(mine[0]) == 1:
+        if bound and mine and mine[2] and len(mine[0]) == 1:
             seed = {k: v for k, v in bound.items() if self._handed_through(name, mine[1], k)}
+            if not seed and (asked := self._relevant(name, mine[1], bound)) is not None:
+                return asked
         df = self._stratum(name, strata, tuple(sorted(seed.items())))
         for k, v in bound.items():
             df = df.where(F.col(rel.keys[k]) == F.lit(v))
@@ -200,6 +202,48 @@ class Program:
                 return False
         return True
 
+    def _relevant(self, name: str, rules: list[Rule], bound: dict[int, Any]) -> DataFrame | None:
+        """The bound rows of a linear recursion, by magic sets; None where the rules don't allow it.
+
+        A relation of asked-for values is derived first: those of the goal, and those that a rule's other literals
+        hand on to its recursive one. Every rule then starts from it, so nothing is derived that no answer can need.
+        """
+        key = (name, "asked", tuple(sorted(bound.items())))
+        if key in self._known:
+            return self._known[key]
+        rel, at = self.relations[name], sorted(bound)
+        q = Program(self.spark, self.max_rounds)
+        q.relations = {k: v for k, v in self.relations.items() if k != name}
+        q.rules = [r for r in self.rules if r.head.relation != name]
+        asked = q.table(f"_asked_{name}", ", ".join(f"`{rel.keys[k]}` {rel.schema[rel.keys[k]].dataType.simpleString()}" for k in at))
+        given = Relation(f"_given_{name}", rel.schema, rel.value, rel.merge, facts=rel.facts, frames=rel.frames)
+        q.relations |= {given.name: given, name: Relation(name, rel.schema, rel.value, rel.merge)}
+        q.fact(asked(*(bound[k] for k in at)))
+
+        def started(body: Body, args: tuple) -> Body:
+            first = Literal(asked.name, tuple(args[k] for k in at))
+            return Combine(body.op, (first, *body.items)) if isinstance(body, Combine) else And((first, *(body.items if isinstance(body, And) else (body,))))
+
+        try:
+            names = tuple(Var(f"x{k}") for k in range(len(rel.keys)))
+            q.rule(Literal(name, names), started(Combine("+", (Literal(given.name, names),)) if rel.value else Literal(given.name, names), names))
+            for r in (a for rule in rules for a in rule.alternatives()):
+                same = [x for x in r.body.literals() if x.relation == name]
+                if len(same) > 1 or any(x.negated for x in same) or (rel.value and not isinstance(r.body, Combine) and r.value is None and same):
+                    return None
+                q.rule(Rule(r.head, started(r.body, r.head.args), r.value))
+                if same and tuple(same[0].args[k] for k in at) != tuple(r.head.args[k] for k in at):
+                    others = [x for x in r.body.literals() if x.relation != name]
+                    q.rule(Literal(asked.name, tuple(same[0].args[k] for k in at)), And((Literal(asked.name, tuple(r.head.args[k] for k in at)), *others)))
+        except ValueError:  # a value that only the recursive literal binds
+            return None
+        df = q._rows(name, {})
+        for k, v in bound.items():
+            df = df.where(F.col(rel.keys[k]) == F.lit(v))
+        self._known[key] = df
+        self.rounds[name] = q.rounds.get(name, 0)
+        return df
+
     def _stratum(self, name: str, strata: list, seed: tuple) -> DataFrame:
         key = (name, seed)
         if key in self._known:

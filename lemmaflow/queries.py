@@ -215,6 +215,18 @@ def dl_tc_bound(spark, sf_dir):
     return p.query(tc(first, X))
 
 
+@query(f"WITH RECURSIVE edge AS ({TRANSITIONS_SQL}), tc(dst) AS (SELECT dst FROM edge WHERE src = (SELECT min(src) FROM edge) UNION SELECT edge.dst FROM tc JOIN edge ON tc.dst = edge.src) SELECT dst AS X FROM tc")
+def dl_tc_bound_right(spark, sf_dir):
+    """The same with the recursive literal last: a relation of asked-for nodes keeps the rest out."""
+    p = Program(spark)
+    edges = transitions(spark, sf_dir)
+    edge = p.table("edge", "src bigint, dst bigint", data=edges.select("src", "dst"))
+    tc = p.table("tc", "src bigint, dst bigint")
+    p.rule(tc(X, Y), edge(X, Y))
+    p.rule(tc(X, Z), edge(X, Y) & tc(Y, Z))
+    return p.query(tc(edges.agg(F.min("src")).first()[0], X))
+
+
 @query(
     f"WITH RECURSIVE edge AS ({TRANSITIONS_SQL}), tc(src, dst) AS (SELECT src, dst FROM edge UNION SELECT tc.src, edge.dst FROM tc JOIN edge ON tc.dst = edge.src), "
     "nodes AS (SELECT src AS x FROM edge UNION SELECT dst FROM edge) SELECT x AS X FROM nodes WHERE NOT EXISTS (SELECT 1 FROM tc WHERE src = x AND dst = x)"

@@ -47,6 +47,27 @@ def test_bound_goal_seeds_the_recursion(spark):
     assert rows(p.query(tc(X, "D"))) == [("A",), ("B",), ("C",)]
 
 
+def test_bound_goal_of_a_right_linear_rule(spark):
+    p = Program(spark)
+    edge, tc = p.table("edge", "src string, dst string"), p.table("tc", "src string, dst string")
+    p.facts(edge, [("A", "B"), ("B", "C"), ("C", "A"), ("P", "Q"), ("Q", "R"), ("R", "S"), ("S", "T"), ("T", "U")])
+    p.fact(tc("C", "extra"))
+    p.rule(tc(X, Y), edge(X, Y))
+    p.rule(tc(X, Z), edge(X, Y) & tc(Y, Z))
+    assert rows(p.query(tc("A", X))) == [("A",), ("B",), ("C",), ("extra",)]
+    assert p.rounds["tc"] <= 4  # P's path of five edges is not asked for
+    assert rows(p.query(tc(X, "extra"))) == [("A",), ("B",), ("C",)] and rows(p.query(tc("U", X))) == []
+
+
+def test_bound_goal_with_values(spark):
+    p = Program(spark)
+    edge, far = (p.table(n, "a string, b string, w int", value="w", merge="min") for n in ("edge", "far"))
+    p.facts(edge, [("a", "b", 1), ("b", "c", 1), ("a", "c", 5), ("c", "a", 1), ("x", "y", 1)])
+    p.rule(far(X, Y), edge(X, Y))
+    p.rule(far(X, Z), edge(X, Y) + far(Y, Z))
+    assert rows(p.query(row(far("a", X)))) == [("a", "a", 3), ("a", "b", 1), ("a", "c", 2)]
+
+
 def test_toy_graph(spark):
     p, _, tc = closure(spark, [("A", "B"), ("B", "C"), ("B", "A"), ("C", "D"), ("D", "E"), ("E", "F")])
     assert [r[0] for r in rows(p.query(tc("A", X)))] == list("ABCDEF")
@@ -188,3 +209,9 @@ def test_closure_is_reachability(spark, edges):
         want |= more
     p, _, tc = closure(spark, sorted(edges))
     assert set(rows(p.query(tc(X, Y)))) == want
+    q = Program(spark)
+    edge, tc = q.table("edge", "src string, dst string"), q.table("tc", "src string, dst string")
+    q.facts(edge, sorted(edges))
+    q.rule(tc(X, Y), edge(X, Y))
+    q.rule(tc(X, Z), edge(X, Y) & tc(Y, Z))
+    assert set(rows(q.query(tc("a", X)))) == {(b,) for a, b in want if a == "a"}

@@ -89,3 +89,12 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     r = spark.sql("select * from trimmed").first()
     assert (r["count"], r.mean, r.sos) == (5, 2, 2)
+
+
+def test_following_across_pieces(spark):
+    from lemmaflow.operators.ordered import following
+
+    rows = [(t, t * 10) for t in (1, 2, 5, 11, 12, 30, 31, 55)]
+    df = spark.createDataFrame(rows, "t int, v int")
+    got = {r.t: (r.nt, r.nv) for r in following(df, ["t"], {"nt": "t", "nv": "v"}, F.floor(F.col("t") / 10)).collect()}
+    assert got == {a[0]: b for a, b in zip(rows, [*rows[1:], (None, None)], strict=True)}
