@@ -27,8 +27,8 @@ _LEET = bytes.maketrans(b"0134578@$!", b"oieastbasi")
 
 #: Labelled rows that a fit reads at most: those with the smallest hash of their id. Words of the learned lexicon at most, and beginnings of words.
 SAMPLE, LEXICON = 20_000, 2_000
-#: Letters of the word beginnings that are learned like words, and mark them: invented and inflected forms share those.
-STEMS, STEM = range(3, 9), b"^"
+#: Bytes of the word beginnings that are learned like words, and mark them: invented and inflected forms share those.
+STEMS, STEM = (3, 4, 5, 6, 7, 8, 10), b"^"
 #: Least documents of a word in the lexicon, and least log-odds of it.
 MIN_DOCS, MIN_ODDS = 3, 1.5
 FOLDS = 4
@@ -38,23 +38,25 @@ FEATURES = [
 ]
 NEAR = 5  # words between a lexicon word and a second-person word, at most
 
-_BARE = re.compile(rb"[^a-z0-9\x80-\xff]+")
+_BARE, _ODD, _LETTER = re.compile(rb"[^a-z0-9\x80-\xff]+"), re.compile(rb"[\x00-\x60\x7b-\x7f]"), re.compile(rb"[a-z]")
+_NO_CAPITALS = bytes(c for c in range(256) if not 65 <= c < 91)
 _EDGE = bytes(c for c in range(128) if not chr(c).isalnum() and c not in b"@$")
 
 
 def _stems(low: bytes) -> list[bytes]:
     """The word's beginnings, short of the whole."""
-    letters = low.decode(errors="replace")
-    return [STEM + letters[:k].encode() for k in STEMS if k < len(letters)]
+    return [STEM + low[:k] for k in STEMS if k < len(low)]
 
 
 class Reader:
     """Turns texts into features, looking each distinct word up once. Memory: MOST words, then it starts anew."""
 
-    MOST = 200_000
+    MOST = 400_000
 
     def __init__(self, learned: dict[bytes, float]):
-        self.learned = learned
+        self.learned = {w: o for w, o in learned.items() if not w.startswith(STEM)}
+        self.stems = {w[len(STEM) :]: o for w, o in learned.items() if w.startswith(STEM)}
+        self.lengths = sorted({len(w) for w in self.stems})
         self.insults = {w.encode() for w in INSULTS}
         self.you = {w.encode() for w in SECOND_PERSON}
         self.reset()
@@ -65,13 +67,18 @@ class Reader:
 
     def look(self, word: bytes) -> tuple:
         low = word.lower().strip(_EDGE)
-        plain = _BARE.sub(b"", low.translate(_LEET))
-        odd = plain != low and len(plain) >= 3 and any(97 <= c < 123 for c in low)
-        insult = low in self.insults or plain in self.insults
-        odds = max(self.learned.get(low, 0.0), self.learned.get(plain, 0.0))
-        stem = max((self.learned.get(w, 0.0) for w in _stems(low)), default=0.0)
-        letters = [c for c in word if 65 <= c < 91 or 97 <= c < 123]
-        shouted = len(letters) >= 3 and all(c < 91 for c in letters)
+        insult, odds, odd = low in self.insults, self.learned.get(low, 0.0), False
+        if _ODD.search(low):  # most words have letters alone
+            plain = _BARE.sub(b"", low.translate(_LEET))
+            odd = plain != low and len(plain) >= 3 and _LETTER.search(low) is not None
+            insult, odds = insult or plain in self.insults, max(odds, self.learned.get(plain, 0.0))
+        stem, n = 0.0, len(low)
+        for k in self.lengths:
+            if k >= n:
+                break
+            if (o := self.stems.get(low[:k], 0.0)) > stem:
+                stem = o
+        shouted = word.isupper() and len(word.translate(None, _NO_CAPITALS)) >= 3
         return insult, odds, low in self.you, shouted, odd, odd and (insult or odds > 0), stem
 
     def features(self, text: bytes) -> list[float]:
@@ -83,12 +90,12 @@ class Reader:
         try:
             ids = list(map(number.__getitem__, words))
         except KeyError:
-            for w in set(words):
-                if w not in number:
-                    if len(number) == len(self.table):
-                        self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                    self.table[len(number)] = self.look(w)
-                    number[w] = len(number)
+            new = [w for w in set(words) if w not in number]
+            at = len(number)
+            while at + len(new) > len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[at : at + len(new)] = [self.look(w) for w in new]
+            number.update(zip(new, range(at, at + len(new)), strict=True))
             ids = list(map(number.__getitem__, words))
         if not n:
             return [0.0] * len(FEATURES)
