@@ -17,7 +17,7 @@ LENGTH, GRAM = 400, 64
 #: Bytes of a text that are hashed at once; positions in them must fit 20 bits.
 CHUNK = 1 << 19
 #: Distinct contexts of a bucket that one task refines; larger buckets are split first. Bytes of contexts refined at once.
-CONTEXTS, BLOCK = 2_000, 3 << 20
+CONTEXTS, BLOCK = 500, 3 << 20
 #: Places (under 40 bytes each, in all documents) up to which they are broadcast to the texts instead of shuffling texts.
 BROADCAST_PLACES = 1_000_000
 #: Counted digests (under 120 bytes each) up to which they are broadcast.
