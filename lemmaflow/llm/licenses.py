@@ -14,8 +14,23 @@ SPELLINGS = [
     ("noncommercial", "non commercial"), ("sharealike", "share alike"), ("noninfringement", "non infringement"), ("merchantibility", "merchantability"),
     ("v2", "version 2"), ("v3", "version 3"), ("v 2", "version 2"), ("v 3", "version 3"), ("ver 2", "version 2"), ("ver 3", "version 3"), ("https", "http"), ("the software is provided", "software is provided"),
 ]
-#: A line that only names the holder of a copyright: it starts with the word or sign and has no other sentence.
-COPYRIGHT_LINE = r"(^|\n)[\x20\t#*/;-]*(copyright|\(c\)|©)[^\n]*"
+#: Words that make of a capitalized "Copyright ..." something else than a holder: part of a licence's own sentence.
+_NO_HOLDER = r"(?!(?i:holders?|owners?|notices?|laws?|licen[cs]es?|licen[cs]ed|statements?|acts?|and|or|interests?|claims?|in|of|on|to|protections?|infringements?|status|treaty|treaties|disclaimers?|rights?|is|are|be|shall|may|as|for|that|this|information)\b)"
+#: A period inside a sentence: after an initial or a title, or before anything but a new sentence.
+_INNER = r"\.(?:(?![\x20\t]+[\p{Lu}\"]|[\x20\t]*(?:\n|$))|(?<=\b\p{Lu}\.|\b(?:Dr|Mr|Ms|Mrs|St|Jr|Prof)\.))"
+_SENTENCE = rf"[^\n.]*+(?:{_INNER}[^\n.]*+)*+\.?"
+#: A name: capitalized words and what joins them, to the end of the sentence.
+_WORD = rf"[^\s,;.]*+(?:{_INNER}[^\s,;.]*+)*+"
+_NAME = rf"(?:(?i:the|by)[\x20\t]+)?{_NO_HOLDER}\p{{Lu}}{_WORD}(?:(?:,?[\x20\t]+|,)(?:[\p{{Lu}}&<\d]{_WORD}|(?:and|of|the|for|de|la|van|von|der|et|al|others|contributors|authors|its)\b))*+[\x20\t,]*+(?:\.|(?=\n|$))"
+#: The statement of a holder at the start of a line: the word or sign of copyright, then a sign, a year (or a
+#: placeholder in brackets) or a name, up to the end of the sentence. What else stands in the line stays.
+COPYRIGHT = (
+    r"(^|\n)[\x20\t#*/;-]*(?:"
+    r"(?:(?i:copyright)[\x20\t:]*)?(?:©|&copy;)" + _SENTENCE + r"|"
+    r"(?i:copyright)[\x20\t:]*(?i:\(c\))" + _SENTENCE + r"|"
+    r"(?:(?i:copyright)|(?i:\(c\))(?:[\x20\t]*(?i:copyright))?)[\x20\t:,]*(?:(?i:by|the)[\x20\t]+)?(?:(?:19|20)(?:\d\d|yy|xx)\b|[\[<{])" + _SENTENCE + r"|"
+    r"(?:[Cc]opyright|COPYRIGHT|\([cC]\)(?:[\x20\t]*(?i:copyright))?)[\x20\t:]+" + _NAME + r")"
+)
 #: Rows of known digests up to which they are broadcast; a row is 64 hex digits and a name.
 BROADCAST_ROWS = 100_000
 
@@ -23,10 +38,10 @@ BROADCAST_ROWS = 100_000
 def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text, as an array without empty ones.
 
-    A-Z is lower-cased, copyright lines go, ``&`` is ``and``, everything but letters, digits and non-ASCII
+    Statements of copyright holders go, A-Z is lower-cased, ``&`` is ``and``, everything but letters, digits and non-ASCII
     characters is one space, and equivalent spellings become one.
     """
-    low = F.regexp_replace(F.replace(ascii_lower(text), F.lit("&"), F.lit(" and ")), COPYRIGHT_LINE, "$1")
+    low = F.replace(ascii_lower(F.regexp_replace(text, COPYRIGHT, "$1")), F.lit("&"), F.lit(" and "))
     flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
     flat = F.replace(flat, F.lit("\n"), F.lit(" \n "))
     for old, new in SPELLINGS:

@@ -424,6 +424,22 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(frame(spark, docs), licenses.known_digests(spark)).count() == len(docs)
 
 
+def test_license_lines_that_begin_with_copyright(spark):
+    """Wrapped licences keep their lines that begin with the word; of a holder's line the other sentences stay."""
+    from lemmaflow.llm.license_texts import _ISC, KNOWN
+
+    wrapped = _ISC.replace("the above copyright", "the above\ncopyright")
+    flat = "Redistributions must retain the above copyright notice. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT DAMAGES."
+    bsd = flat.replace(" COPYRIGHT ", "\nCOPYRIGHT ").replace(" copyright ", "\ncopyright ")
+    notices = ["Copyright (c) 2021 Acme. Licensed under the MIT License.", "# Copyright Acme, Inc. Licensed under the MIT License.", "© 2020 J. R. Smith. Licensed under the MIT License.", "COPYRIGHT 1999-2003 ACME CORP.\nLicensed under the MIT License.", "Copyright The Foo Authors\nLicensed under the MIT License."]
+    kept = ["copyright holder, and", "copyrighted by the Free Software Foundation", "COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE", "(c) You must retain, in the Source form", "Copyright and Related Rights include", "Copyright License. Subject to the terms", "copyright law"]
+    texts = [wrapped, "ISC License\n\nCopyright (c) 2004 by Some Body <a@b.c>\n\n" + wrapped, bsd, "Copyright (c) 2020, Acme\n\n" + bsd]
+    docs = list(enumerate(texts + notices + kept))
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, docs), licenses.known_digests(spark, [*KNOWN, ("BSD-3-Clause", flat)])).collect()}
+    assert [got[k].text_license for k in range(9)] == ["ISC", "ISC", "BSD-3-Clause", "BSD-3-Clause"] + ["MIT"] * 5
+    assert all(got[9 + k].text_digest != brute.sha("") for k in range(len(kept)))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     assert suffix_dedup.remove_repeats(none).count() == 0 and simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
