@@ -440,6 +440,21 @@ def test_license_lines_that_begin_with_copyright(spark):
     assert all(got[9 + k].text_digest != brute.sha("") for k in range(len(kept)))
 
 
+def test_entire_licenses(spark):
+    """Whole licences, rewrapped and with a holder, are known."""
+    from lemmaflow.llm import license_texts
+
+    files = sorted((Path(license_texts.__file__).parent / "texts").glob("*.txt"))
+    whole = {f.stem: f.read_text(encoding="utf-8") for f in files}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(whole)
+    texts = list(whole.items())
+    texts += [(k, "\n".join(" ".join(x.split()) for x in t.split("\n"))) for k, t in whole.items()]
+    texts += [("Apache-2.0", whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Acme, Inc.")), ("Apache-2.0", whole["Apache-2.0"].split("   APPENDIX")[0])]
+    texts += [("GPL-2.0", whole["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA")), ("GPL-3.0", whole["GPL-3.0"].split("How to Apply These")[0])]
+    got = {r.doc_id: r.text_license for r in licenses.scan_licenses(frame(spark, [(i, t) for i, (_, t) in enumerate(texts)]), licenses.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).limit(0)
     assert suffix_dedup.remove_repeats(none).count() == 0 and simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
