@@ -18,12 +18,22 @@ BASE = [
 ]
 KINDS = [k for k, *_ in BASE] + ["random"]
 #: Alphabets of the inferred encodings, smallest first; a token belongs to the first that has all its symbols.
+#: Hyphens between groups do not count, except in base64, where they are a symbol.
 ENCODINGS = [
     ("hex", "0123456789abcdef", r"^[0-9a-f]+$"),
     ("HEX", "0123456789ABCDEF", r"^[0-9A-F]+$"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+$"),
+    ("base32low", "abcdefghijklmnopqrstuvwxyz234567", r"^[a-z2-7]+$"),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", r"^[0-9a-z]+$"),
+    ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[0-9A-Z]+$"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/_-]+$"),
 ]
+#: Shares in percent of the letters in European prose, and its common pairs of letters; any case counts.
+LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", [12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.15, 0.15, 0.1, 0.07]))
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea "
+    "ra ce li ch ll be ma si om ur ei ie sc un ge el la qu ue os ad do sh ec ai us et tr ta il ss ol id pr am em di ac ul"
+).split()
 #: Least information of a token in bits, false-discovery rate, and steps of the grid of p-values a decade.
 MIN_BITS, RATE, STEPS = 80.0, 0.01, 8
 #: Rows of spans (under 200 bytes each) up to which they are broadcast to the texts.
@@ -64,11 +74,6 @@ def _base_spans(text: Column, rank: int) -> Column:
     return _places(text, pattern, rank, lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least)
 
 
-def _token(m: Column) -> Column:
-    """Whether a run of letters, digits and ``+/_-`` is more than a long word: digits, and for base64 both cases."""
-    return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (m.rlike(r"^([0-9a-f]+|[0-9A-F]+|[A-Z2-7]+)$") | (m.rlike("[a-z]") & m.rlike("[A-Z]")))
-
-
 def _normal_tail(z: Column) -> Column:
     """P(N > z) by Abramowitz and Stegun 26.2.17, within 1e-7."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
@@ -77,25 +82,45 @@ def _normal_tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-40))
 
 
+def _constants(name: str, letters: str) -> Column:
+    """What the battery needs of an encoding, as a struct."""
+    k = len(letters)
+    times = {x: letters.lower().count(x) for x in LETTERS}
+    scores = {x: math.log(LETTERS[x.lower()] / 100 + 0.002) for x in letters if x.isalpha()}
+    mean = sum(scores.values()) / len(scores)
+    cases = any(map(str.islower, letters)) and any(map(str.isupper, letters))
+    return F.struct(
+        F.lit(name).alias("name"), F.lit(letters).alias("letters"), F.lit(float(k)).alias("k"),
+        F.lit(sum(times[a] * times[b] for a, b in PAIRS) / k**2).alias("pair"), F.array(*(F.lit(scores.get(x, mean) - mean) for x in letters)).alias("scores"),
+        F.lit(math.sqrt(sum((x - mean) ** 2 for x in scores.values()) / len(scores))).alias("sd"),
+        F.lit(len(scores) / k).alias("share"), F.lit(cases).alias("cases"),
+    )
+
+
 def battery(tokens: DataFrame, col: str = "token") -> DataFrame:
     """Adds ``encoding``, ``bits`` and ``p``: how likely a uniform random string looks as odd as the token.
 
     Three tests on the symbols' numbers in the alphabet: chi-squared of the counts against a uniform alphabet
     (Wilson and Hilferty's cube root), Wald and Wolfowitz's runs below and above the middle of the alphabet, and
-    the correlation of neighbours; Fisher's sum joins the three. Null tokens have null results.
+    the correlation of neighbours. Three more tell words: the number of small letters among all letters (of
+    letters among all symbols, where the alphabet has one case), the mean log share that the letters have in
+    prose, and the common pairs of letters (square root of the count). All have the uniform alphabet as null
+    hypothesis. Fisher's sum joins them; as some look at the same counts, its variance is about 36 (simulated)
+    and not 24, so it counts as four independent tests (Brown, 1975). Null tokens have null results.
     """
-    enc = alphabet = None
+    core = F.regexp_replace(col, "=+$", "")
+    bare = F.replace(core, F.lit("-"), F.lit(""))
+    enc = None
     for name, letters, shape in reversed(ENCODINGS):
-        fits = F.col(col).rlike(shape)
-        enc = F.when(fits, name) if enc is None else F.when(fits, name).otherwise(enc)
-        alphabet = F.when(fits, letters) if alphabet is None else F.when(fits, letters).otherwise(alphabet)
-    plain = F.translate(F.regexp_replace(col, "=+$", ""), "-_", "+/")
-    t = tokens.withColumn("encoding", enc).withColumn("_a", alphabet)
-    symbols = let(F.struct(plain.alias("s"), F.col("_a").alias("a")), lambda x: F.transform(F.sequence(F.lit(1), F.length(x["s"])), lambda i: F.instr(x["a"], F.substr(x["s"], i, F.lit(1))) - 1))
-    t = t.withColumn("_v", symbols).withColumn("_n", F.size("_v").cast("double")).withColumn("_k", F.length("_a").cast("double"))
-    t = t.withColumn("bits", F.col("_n") * F.log2("_k"))
-    n, k = F.col("_n"), F.col("_k")
-    counts = F.transform(F.sequence(F.lit(0), F.col("_k").cast("int") - 1), lambda a: F.size(F.filter("_v", lambda v: v == a)))
+        fits = (core if name == "base64" else bare).rlike(shape)
+        enc = F.when(fits, _constants(name, letters)) if enc is None else F.when(fits, _constants(name, letters)).otherwise(enc)
+    t = tokens.withColumn("_e", enc).withColumn("encoding", F.col("_e.name"))
+    t = t.withColumn("_t", F.when(F.col("encoding") == "base64", F.translate(core, "-_", "+/")).otherwise(bare)).withColumn("_n", F.length("_t").cast("double"))
+    t = t.withColumn("bits", F.col("_n") * F.log2("_e.k"))
+    symbols = let(F.struct(F.col("_t").alias("s"), F.col("_e.letters").alias("a")), lambda x: F.transform(F.sequence(F.lit(1), F.length(x["s"])), lambda i: F.instr(x["a"], F.substr(x["s"], i, F.lit(1))) - 1))
+    t = t.withColumn("_v", symbols)
+    n, k = F.col("_n"), F.col("_e.k")
+    counts = F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda a: F.size(F.filter("_v", lambda v: v == a)))
     chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c - n / k) * (c - n / k) / (n / k))
     df = k - 1
     z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
@@ -110,10 +135,16 @@ def battery(tokens: DataFrame, col: str = "token") -> DataFrame:
     around = F.aggregate("_v", F.lit(0.0), lambda s, v: s + (v - avg) * (v - avg))
     lagged = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get("_v", i) - avg) * (F.get("_v", i - 1) - avg))
     z_corr = F.when(around > 0, (lagged / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    half = -(F.log(_normal_tail(z_chi)) + F.log(2 * _normal_tail(F.abs(z_runs))) + F.log(2 * _normal_tail(F.abs(z_corr))))
-    half = F.greatest(half, F.lit(0.0))
-    p = F.exp(-half) * (1 + half + half * half / 2)
-    return t.withColumn("p", p).drop("_a", "_v", "_n", "_k")
+    small, letters = (F.length(F.regexp_replace("_t", other, "")).cast("double") for other in ("[^a-z]", "[^A-Za-z]"))
+    part, of, share = F.when(F.col("_e.cases"), small).otherwise(letters), F.when(F.col("_e.cases"), letters).otherwise(n), F.when(F.col("_e.cases"), 0.5).otherwise(F.col("_e.share"))
+    z_kind = F.when(of > 0, (part - of * share) / F.sqrt(F.greatest(of, F.lit(1.0)) * share * (1 - share))).otherwise(0.0)
+    z_prose = F.when(letters > 0, F.aggregate("_v", F.lit(0.0), lambda s, v: s + F.get("_e.scores", v)) / F.col("_e.sd") / F.sqrt(F.greatest(letters, F.lit(1.0)))).otherwise(0.0)
+    common = F.size(F.filter(pairs, lambda i: F.lower(F.substr("_t", i, F.lit(2))).isin(PAIRS)))
+    z_pairs = 2 * (F.sqrt(common.cast("double")) - F.sqrt((n - 1) * F.col("_e.pair")))
+    logs = [_normal_tail(z_chi), 2 * _normal_tail(F.abs(z_runs)), 2 * _normal_tail(F.abs(z_corr)), 2 * _normal_tail(F.abs(z_kind)), _normal_tail(z_prose), _normal_tail(z_pairs)]
+    t = t.withColumn("_h", F.greatest(-sum((F.log(x) for x in logs), F.lit(0.0)) * 2 / 3, F.lit(0.0)))
+    h = F.col("_h")
+    return t.withColumn("p", F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)).drop("_e", "_t", "_v", "_n", "_h")
 
 
 def not_random(tokens: DataFrame, rate: float = RATE) -> DataFrame:
@@ -135,16 +166,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are ``(start, rank, end)`` in code points, the end exclusive; ``rank`` counts in ``KINDS``. The base
     scan takes the matches of each kind, leftmost and without overlap, and drops those too short. Further runs
-    of 20 and more letters, digits and ``+/_-``, off the base spans and more than words, are put to the
-    battery; those of at least ``MIN_BITS`` bits that are not found to be regular get kind ``random``. Null and
+    of letters, digits and ``+/_-`` off the base spans are put to the battery where their encoding gives them at
+    least ``MIN_BITS`` bits; those that are not found to be regular get kind ``random``. Null and
     empty texts have no spans. Rows repeated with id and text have the same spans each. ``(k1, k2)`` is a null
     safe key of id and text. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(id_col, text_col).alias("k2"), text.alias("text"))
-    runs = r"[A-Za-z0-9+/_-]{20,}"
+    shortest = min(math.ceil(MIN_BITS / math.log2(len(letters))) for _, letters, _ in ENCODINGS)
+    runs = rf"[A-Za-z0-9+/_-]{{{shortest},}}"
     base = F.array_sort(F.concat(*(_base_spans(F.col("text"), r) for r in range(len(BASE)))))
-    more = _places(F.col("text"), runs, len(BASE), _token)
+    more = _places(F.col("text"), runs, len(BASE), lambda m: F.lit(True))
     both = let(base, lambda b: F.struct(b.alias("base"), F.filter(more, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))).alias("more")))
     found = d.select("id", "k1", "k2", let(both, lambda x: F.struct(x["base"].alias("base"), F.transform(x["more"], lambda m: F.struct(m.alias("span"), F.substr(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("token"))).alias("more"))).alias("f"))
     found = materialize(found.select("id", "k1", "k2", "f.base", "f.more"), "secrets")

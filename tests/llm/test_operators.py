@@ -472,3 +472,17 @@ def test_token_battery(spark):
     p = {r.token: r.p for r in df.collect()}
     assert sum(p[t] < 0.01 for t, ok in tokens if ok) <= 6
     assert all(p[t] < 1e-3 for t, ok in tokens if not ok), {t: p[t] for t, ok in tokens if not ok}
+
+
+def test_random_strings_of_every_alphabet(spark):
+    """Keys without a keyword are found in every encoding, without a digit too and as short as MIN_BITS lets them be; words are not."""
+    rng = random.Random(14)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = ["k3xq97zm1p58wrt2y6bv084nh2", "7f9c24e8-3b1d-4a6f-b5e0-d2c8916a3f47", "QZ7XK0M9VB1WJ8HY3PLD", "xKqVbZrWmJtYpLcHgDnf", "Kq7vXz2MbR9tLw"]
+    keys += [make(a, n) for a, n in ((low + "234567", 16), (low + digits, 20), (low.upper() + digits, 20), (low + low.upper(), 20), (low + low.upper() + digits, 14)) for _ in range(8)]
+    words = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "counterrevolutionaries", "this-is-a-long-title-of-a-page", "some_long_identifier_name", "getElementsByTagNameAndClass", "usr/local/share/documents", "2024-01-02-03-04-05", "INTERNATIONALIZATION"]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(frame(spark, [(i, f"see {x} here") for i, x in enumerate(keys + words)])).collect()}
+    found = [got[i] == f"random:4:{4 + len(x)}" for i, x in enumerate(keys)]
+    assert all(found[:5]) and sum(found) >= len(keys) - 3, [x for x, ok in zip(keys, found) if not ok]
+    assert not any(got[len(keys) + i] for i in range(len(words))), [w for i, w in enumerate(words) if got[len(keys) + i]]
