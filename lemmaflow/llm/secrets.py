@@ -150,12 +150,13 @@ def battery(tokens: DataFrame, col: str = "token") -> DataFrame:
 def not_random(tokens: DataFrame, rate: float = RATE) -> DataFrame:
     """``(encoding, octave, most)``: the grid step of ``p`` from which tokens of a stratum are dismissed.
 
+    Each distinct token is one test, however many copies of it ``tokens`` has.
     Benjamini and Hochberg's rule by encoding and octave of length, where the discovery is that a token is
     not random: among the dismissed at most ``rate`` are random in the mean. p-values are counted on a grid of
     ``STEPS`` a decade (rounded up), so that a stratum of any size is at most 321 counts.
     """
     by = Window.partitionBy("encoding", "octave")
-    c = tokens.groupBy("encoding", "octave", "step").agg(F.count("*").alias("n"))
+    c = tokens.select("encoding", "octave", "step", "token").distinct().groupBy("encoding", "octave", "step").agg(F.count("*").alias("n"))
     c = c.withColumn("m", F.sum("n").over(by)).withColumn("below", F.sum("n").over(by.orderBy(F.desc("step"))))
     ok = F.col("m") * F.pow(F.lit(10.0), -F.col("step") / STEPS) <= rate * F.col("below")
     return c.where(ok).groupBy("encoding", "octave").agg(F.min("step").alias("most"))
@@ -182,7 +183,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(found.select("id", "k1", "k2", "f.base", "f.more"), "secrets")
     tokens = battery(found.where(F.size("more") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.inline("more")))
     tokens = tokens.withColumn("octave", F.floor(F.log2(F.length("token")))).withColumn("step", F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * STEPS))
-    tokens = materialize(tokens.where(F.col("bits") >= MIN_BITS).select("k1", "k2", "span", "encoding", "octave", "step"), "tokens")
+    tokens = materialize(tokens.where(F.col("bits") >= MIN_BITS).select("k1", "k2", "span", "token", "encoding", "octave", "step"), "tokens")
     limits = not_random(tokens, rate)  # at most one row for each encoding and octave of length
     kept = tokens.join(F.broadcast(limits), ["encoding", "octave"], "left").where(F.col("most").isNull() | (F.col("step") < F.col("most")))
     kept = kept.groupBy("k1", "k2").agg(F.collect_list("span").alias("random"))

@@ -486,3 +486,12 @@ def test_random_strings_of_every_alphabet(spark):
     found = [got[i] == f"random:4:{4 + len(x)}" for i, x in enumerate(keys)]
     assert all(found[:5]) and sum(found) >= len(keys) - 3, [x for x, ok in zip(keys, found) if not ok]
     assert not any(got[len(keys) + i] for i in range(len(words))), [w for i, w in enumerate(words) if got[len(keys) + i]]
+
+
+def test_copies_of_a_token_are_one_test(spark):
+    """Copies of a regular token do not lift the cut-off of its stratum: a secret stays however often a document is copied."""
+    schema = "encoding string, octave int, step int, token string"
+    once = [("hex", 5, 18, "odd")] + [("hex", 5, 1, f"t{i}") for i in range(99)]  # p of the odd one is 10 ** (-18 / 8), 0.0056
+    copies = [("hex", 5, 320, "regular")] * 9000
+    assert secrets.not_random(spark.createDataFrame(once, schema)).count() == 0
+    assert [r.most for r in secrets.not_random(spark.createDataFrame(once + copies, schema)).collect()] == [320]
