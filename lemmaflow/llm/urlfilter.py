@@ -1,4 +1,4 @@
-"""URL rules by a sort-merge range join over reversed-host keys."""
+"""URL rules: hosts by equality of reversed parent domains, paths by a sort-merge range join."""
 
 from __future__ import annotations
 
