@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import discard, materialize, parquet, store
 from ..sources.tables import scratch_dir as shared_dir
 
-__all__ = ["WORD", "ascii_lower", "by_value", "connected_components", "fresh", "let", "materialize", "shared_dir", "table"]
+__all__ = ["WORD", "ascii_lower", "by_value", "connected_components", "fresh", "let", "materialize", "row_keys", "running", "shared_dir", "table"]
 
 #: A word of the whitespace-separated kind, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,36 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """Two 64-bit hashes ``k1``, ``k2`` that name a row by the columns, ids of any type and nulls included.
+
+    Rows equal in all the columns share the key; of others two would have to collide in both hashes.
+    """
+    parts = [c for n in columns for c in (F.col(n).isNull(), F.col(n))]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
+def running(values: Column, zero: Column, op, block: int = 64) -> Column:
+    """For each value of an array, ``op`` folded over ``zero`` and the values before it.
+
+    Two levels, values in blocks and the blocks' sums, so that no long array is appended to value by value: the
+    work is the number of values times the block, and not its square.
+    """
+
+    def scan(xs: Column, start: Column) -> Column:
+        state = F.struct(start.alias("now"), F.slice(F.array(start), 1, 0).alias("out"))
+        return F.aggregate(xs, state, lambda s, x: F.struct(op(s["now"], x).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")))["out"]
+
+    def cut(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+
+    def both(blocks: Column) -> Column:
+        starts = scan(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero)
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda b, j: scan(b, F.get(at, j)))))
+
+    return F.when(F.size(values) > 0, let(let(values, cut), both)).otherwise(F.slice(F.array(zero), 1, 0))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, also where the body uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

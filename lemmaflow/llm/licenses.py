@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, materialize
+from .common import ascii_lower, let, materialize, row_keys
 from .license_texts import KNOWN
 
 # Spellings that count as one, in canonical words; the second one stays.
@@ -76,7 +76,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     n_known = known.count()
     names = known.withColumnRenamed("license", "found")
     names = F.broadcast(names) if n_known <= BROADCAST_ROWS else names
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(id_col, text_col).alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole, line = F.lit(True).alias("whole"), F.lit(False).alias("whole")
     units = let(
         canonical_lines(F.col("text")),

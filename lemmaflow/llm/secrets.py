@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, let, materialize
+from .common import fresh, let, materialize, row_keys
 
 # Fixed values of the base scan: kind, pattern, group whose length counts, least length of it.
 BASE = [
@@ -173,7 +173,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     safe key of id and text. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(id_col, text_col).alias("k2"), text.alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), text.alias("text"))
     shortest = min(math.ceil(MIN_BITS / math.log2(len(letters))) for _, letters, _ in ENCODINGS)
     runs = rf"[A-Za-z0-9+/_-]{{{shortest},}}"
     base = F.array_sort(F.concat(*(_base_spans(F.col("text"), r) for r in range(len(BASE)))))
@@ -216,7 +216,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     s = materialize(s, "redact")
     side = F.broadcast(s) if s.count() <= BROADCAST_ROWS else s
     k1, k2, spans = fresh(docs, "k1", "k2", "spans")
-    keyed = docs.withColumns({k1: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), k2: F.xxhash64(id_col, text_col)})
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_col, text_col), strict=True)))
     both = keyed.join(side.toDF(k1, k2, spans), [k1, k2], "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
