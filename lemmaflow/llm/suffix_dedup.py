@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, materialize
+from .common import by_value, materialize, row_keys
 
 #: Bytes of the repeated strings, and of the q-grams that spread the suffixes over buckets.
 LENGTH, GRAM = 400, 64
 #: Bytes of a text that are hashed at once; positions in them must fit 20 bits.
 CHUNK = 1 << 19
-#: Distinct contexts of a bucket that one task refines; larger buckets are split first. Bytes of contexts refined at once.
-CONTEXTS, BLOCK = 500, 3 << 20
+#: Distinct contexts (each under 2 * LENGTH bytes) that one task refines as one bucket; larger buckets are split by longer q-grams
+#: first. Bytes of contexts refined at once, in whole buckets: at about 60 bytes of arrays a byte it bounds a worker's memory.
+CONTEXTS, BLOCK = 500, 256 << 10
 #: Places (under 40 bytes each, in all documents) up to which they are broadcast to the texts instead of shuffling texts.
 BROADCAST_PLACES = 1_000_000
 #: Counted digests (under 120 bytes each) up to which they are broadcast.
@@ -79,23 +80,22 @@ class Sampler:
 
 def _scanner(length: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        sampler = Sampler(length, gram)
+        sampler, digest = Sampler(length, gram), hashlib.blake2b
         for b in batches:
             k1, k2, texts = (b.column(k) for k in range(3))
             k1, k2 = k1.to_numpy(), k2.to_numpy()
-            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            contexts: list[bytes] = []
             for row, text in enumerate(texts):
                 if (text := text.as_py()) is None or len(text) < length:
                     continue
                 view = memoryview(text)
                 for h, place, first, last in sampler.runs(text):
-                    c = np.fromiter((xxh3_64_intdigest(view[i : j + length]) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(h))
-                    for p, v in zip(parts, (np.full(len(h), k1[row]), np.full(len(h), k2[row]), h.view(np.int64), c.view(np.int64), place.astype(np.int32), first.astype(np.int32), last.astype(np.int32)), strict=True):
+                    contexts += [digest(view[i : j + length], digest_size=16).digest() for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+                    for p, v in zip(parts, (np.full(len(h), k1[row]), np.full(len(h), k2[row]), h.view(np.int64), place.astype(np.int32), first.astype(np.int32), last.astype(np.int32)), strict=True):
                         p.append(v)
-            if parts[0]:
-                yield pa.record_batch([pa.array(np.concatenate(p)) for p in parts], ["k1", "k2", "h", "c", "place", "first", "last"])
+            if contexts:
+                yield pa.record_batch([*(pa.array(np.concatenate(p)) for p in parts), pa.array(contexts, pa.binary())], ["k1", "k2", "h", "place", "first", "last", "c"])
 
     return scan
 
@@ -109,18 +109,19 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     reads those, each doubles the bytes that a bucket agrees in. Buckets of one position are final and left out.
     The passes stop at the largest power of two within ``length``; a last one joins two overlapping halves.
     """
-    sizes = np.array([len(c) for c in contexts])
+    sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
     n = len(data) - 8
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    left = ends - np.arange(n)
+    left = np.repeat(np.cumsum(sizes), sizes).astype(np.int32)
+    left -= np.arange(n, dtype=np.int32)
     grams = np.zeros(n, np.uint64)
     for k in range(8):
-        grams = (grams << np.uint64(8)) | data[k : n + k]
+        grams <<= np.uint64(8)
+        grams |= data[k : n + k]
     short = left < 8
     grams[short] = np.arange(int(short.sum()), dtype=np.uint64)  # suffixes of under 8 bytes are never asked for
-    sa = np.argsort(grams, kind="stable")
-    pointer = np.empty(n, np.int64)
+    sa = np.argsort(grams, kind="stable").astype(np.int32)
+    pointer = np.empty(n, np.int32)
 
     def point(slots: np.ndarray, new: np.ndarray) -> None:
         """Writes the pointers of the positions in ``slots``; ``new`` marks where a bucket begins."""
@@ -128,9 +129,10 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
         last = np.append(begin[1:], len(slots)) - 1
         pointer[sa[slots]] = slots[np.repeat(last, np.diff(np.append(begin, len(slots))))]
 
-    ordered = grams[sa]
-    slots = np.arange(n)
-    point(slots, np.concatenate(([True], ordered[1:] != ordered[:-1])) if n else np.zeros(0, bool))
+    grams = grams[sa]
+    slots = np.arange(n, dtype=np.int32)
+    point(slots, np.concatenate(([True], grams[1:] != grams[:-1])) if n else np.zeros(0, bool))
+    del grams, short
 
     def refine(slots: np.ndarray, offset: int, whole: int) -> np.ndarray:
         """One pass over the buckets in ``slots``; returns those that are still shared."""
@@ -140,7 +142,7 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
         several = alike | np.append(alike[1:], False)
         slots, p = slots[several], p[several]
         later = np.where(left[p] >= whole, pointer[np.minimum(p + offset, n - 1)], -1)
-        key = pointer[p] * (n + 1) + later + 1
+        key = pointer[p] * np.int64(n + 1) + later + 1
         order = np.argsort(key, kind="stable")
         sa[slots] = p[order]
         key = key[order]
@@ -154,7 +156,8 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
         depth *= 2
     slots = refine(slots, length - depth, length)
     p = sa[slots]
-    p, b = p[left[p] >= length], pointer[p[left[p] >= length]]
+    p = p[left[p] >= length]
+    b = pointer[p]
     alike = np.concatenate(([False], b[1:] == b[:-1])) if len(b) else np.zeros(0, bool)
     found = np.zeros(n, bool)
     found[p[alike | np.append(alike[1:], False)] if len(b) else []] = True
@@ -163,6 +166,8 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
 
 
 def _refiner(length: int):
+    """Refines whole buckets, rows ``(bucket, k1, k2, first, text)`` sorted by bucket, about ``BLOCK`` bytes at a time."""
+
     def spans(rows: list[tuple]) -> pa.RecordBatch | None:
         out: list[tuple] = []
         for (_, k1, k2, first, _), hit in zip(rows, repeated_windows([r[4] for r in rows], length), strict=True):
@@ -175,54 +180,59 @@ def _refiner(length: int):
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= BLOCK and row[0] != rows[-1][0]:
-                    if out := spans(rows):
-                        yield out
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
+                    if size >= BLOCK and row[0] != rows[-1][0]:
+                        if out := spans(rows):
+                            yield out
+                        rows, size = [], 0
+                    rows.append(row)
+                    size += len(row[4])
         if rows and (out := spans(rows)):
             yield out
 
     return refine
 
 
-def _split_refine(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of the repeated windows in buckets of too many contexts for one task.
+def _split(contexts: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Splits buckets of too many contexts for one task into such that can be refined.
 
-    A window is named by its offset to the bucket's q-gram. Offsets are halved in cells: all windows of a cell
-    share its core, the bytes between its outermost windows, so contexts whose core is found once have no
-    repeated window there and leave; those whose whole stretch is found twice are done, all but one of each; the
-    others go on to the cell's halves. Every step counts digests by key, which needs no bucket in one place.
+    Returns those buckets, ``(bucket, k1, k2, first, text)``, and the spans found on the way. A window is named by
+    its offset to the bucket's q-gram, and offsets are halved in cells: all windows of a cell share its core, the
+    bytes between its outermost windows, which is a longer q-gram. Rows with one core are a bucket of their own;
+    contexts alone in theirs have no repeated window there and leave, and buckets of at most ``most`` are ready.
+    Of stretches with the same bytes in a cell all windows are repeated: that is said at once, and one of each goes
+    on as a partner of those that share a part of it. A cell of one offset has the whole window as its q-gram, so
+    the splitting ends after nine steps. Each step counts digests by key, which needs no bucket in one place.
     """
     cells = contexts.select("*", F.explode(F.array(*map(F.lit, range(0, length, 256)))).alias("lo")).withColumn("hi", F.col("lo") + 255)
-    done = None
-    for _ in range(9):
+    ready = done = None
+    while True:
         cells = cells.withColumn("lo_in", F.greatest("lo", F.col("place") - F.col("last"))).withColumn("hi_in", F.least("hi", F.col("place") - F.col("first"))).where("lo_in <= hi_in")
 
-        def digest(high, low):  # of the bytes that all windows from offset `high` to `low` reach or share
-            return F.md5(F.substring("text", F.col("place") - high - F.col("first") + 1, high - low + length))
+        def stretch(high, low):  # the bytes that all windows from offset `high` to `low` reach or share
+            return F.substring("text", F.col("place") - high - F.col("first") + 1, high - low + length)
 
-        cells = cells.withColumn("core", digest(F.col("lo"), F.col("hi"))).withColumn("whole", digest(F.col("hi_in"), F.col("lo_in")))
+        cells = cells.withColumn("core", F.unhex(F.sha2(stretch(F.col("lo"), F.col("hi")), 256))).withColumn("whole", F.unhex(F.sha2(stretch(F.col("hi_in"), F.col("lo_in")), 256)))
         cells = materialize(cells, "cells")
         # counts are tables of their own: few are broadcast, and of many a join can split the key that most cells have
-        cores = materialize(cells.groupBy("h", "lo", "core").agg(F.count("*").alias("n")).where("n > 1").select("h", "lo", "core"), "cores")
+        cores = materialize(cells.groupBy("h", "lo", "core").agg(F.count("*").alias("n_core")).where("n_core > 1"), "cores")
         me = F.struct("k1", "k2", "place", "first")
         wholes = cells.groupBy("h", "lo_in", "hi_in", "whole").agg(F.count("*").alias("n_whole"), F.min(me).alias("one")).where("n_whole > 1")
         wholes = materialize(wholes, "wholes")
         met = cells.join(_checked(cores), ["h", "lo", "core"]).join(_checked(wholes), ["h", "lo_in", "hi_in", "whole"], "left")
         met = materialize(met, "met")
-        out = met.where("n_whole > 1").select("k1", "k2", (F.col("place") - F.col("hi_in")).alias("start"), (F.col("place") - F.col("lo_in") + length).alias("end"))
-        done = out if done is None else done.union(out)
-        half = ((F.col("hi") - F.col("lo") + 1) / 2).cast("int")
-        # of stretches that are done one stays, as a partner of those that share a part of it
-        rest = met.where((F.col("n_whole").isNull() | (me == F.col("one"))) & (F.col("lo") < F.col("hi"))).select(*contexts.columns, "lo", "hi", half.alias("half"))
+        same = met.where("n_whole > 1").select("k1", "k2", (F.col("place") - F.col("hi_in")).alias("start"), (F.col("place") - F.col("lo_in") + length).alias("end"))
+        rest = met.where((F.col("n_whole").isNull() | (me == F.col("one"))) & (F.col("lo") < F.col("hi")))
+        small = rest.where(F.col("n_core") <= most).select(
+            F.xxhash64("h", "lo", "core").alias("bucket"), "k1", "k2", (F.col("place") - F.col("hi_in")).alias("first"), stretch(F.col("hi_in"), F.col("lo_in")).alias("text")
+        )
+        ready, done = (small, same) if ready is None else (ready.union(small), done.union(same))
+        rest = rest.where(F.col("n_core") > most).select(*contexts.columns, "lo", "hi", ((F.col("hi") - F.col("lo") + 1) / 2).cast("int").alias("half"))
         if rest.isEmpty():
-            break
+            return ready, done
         cells = rest.select(*contexts.columns, F.explode(F.array(F.col("lo"), F.col("lo") + F.col("half"))).alias("lo"), "half").withColumn("hi", F.col("lo") + F.col("half") - 1).drop("half")
-    return done
 
 
 def _checked(counts: DataFrame) -> DataFrame:
@@ -234,12 +244,25 @@ def _with_texts(texts: DataFrame, side: DataFrame, places: str, how: str) -> Dat
     return texts.join(F.broadcast(side) if n <= BROADCAST_PLACES else side, ["k1", "k2"], how)
 
 
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the overlapping and touching spans of each text."""
+    for b in batches:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for row in b.column(2):
+            start, end = (np.asarray(row.values.field(k)) for k in range(2))
+            order = np.argsort(start, kind="stable")
+            start, reach = start[order], np.maximum.accumulate(end[order])
+            new = np.concatenate(([True], start[1:] > reach[:-1]))
+            out.append((start[new], reach[np.append(new[1:], True)]))
+        yield pa.record_batch([b.column(0), b.column(1), *(pa.array([x[k] for x in out], pa.list_(pa.int32())) for k in range(2))], ["k1", "k2", "starts", "ends"])
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, starts, ends in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            text, at, removed, n, kept = text or b"", 0, 0, 0, hashlib.sha256()
-            for i, j in zip(starts or (), ends or (), strict=True):
+        for text, starts, ends in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
+            text, at, removed, n, kept = text.as_py() or b"", 0, 0, 0, hashlib.sha256()
+            for i, j in zip(starts.as_py() or (), ends.as_py() or (), strict=True):
                 kept.update(text[at:i])
                 at, removed, n = j, removed + j - i, n + 1
             kept.update(text[at:])
@@ -250,20 +273,21 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a null-safe key. Rows equal in id and text share it: they are copies, and get the same result."""
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(id_col, text_col).alias("k2"), F.col(text_col).cast("binary").alias("text"))
+    return docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
     """``(k1, k2, starts, ends)``: the maximal runs of bytes covered by strings of ``length`` bytes that also start elsewhere.
 
     Plan: (1) one pass samples a q-gram for every window; a row for each run of windows has the q-gram's hash and
-    a digest of the run's bytes, its context. (2) Contexts found twice are covered whole: that settles copies of
-    any number without their texts. (3) Different contexts in one bucket can share some windows, as at the ends
-    of a passage: the distinct ones are fetched and refined, small buckets in one task, larger ones split.
+    a digest of the run's bytes, its context (BLAKE2b, 128 bits: equal digests stand for equal bytes). (2) Contexts
+    found twice are covered whole: that settles copies of any number without their texts. (3) Different contexts in
+    one bucket can share some windows, as at the ends of a passage: one of each is fetched, buckets of more than
+    ``contexts`` are split by longer q-grams, and all are refined by bucket pointers, which compares bytes.
     """
     texts = _keyed(docs, id_col, text_col)
     runs = texts.where(F.octet_length("text") >= length).select("k1", "k2", "text")
-    runs = materialize(runs.mapInArrow(_scanner(length, gram), "k1 bigint, k2 bigint, h bigint, c bigint, place int, first int, last int"), "runs")
+    runs = materialize(runs.mapInArrow(_scanner(length, gram), "k1 bigint, k2 bigint, h bigint, place int, first int, last int, c binary"), "runs")
     counts = runs.groupBy("h", "c").agg(F.count("*").alias("n"))
     buckets = counts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("n_contexts"), F.count_if(F.col("n") == 1).alias("single")).where("total > 1")
     known = counts.join(buckets, "h").select("h", "c", "n", "n_contexts", ((F.col("n_contexts") > 1) & (F.col("single") > 0)).alias("mixed"))
@@ -278,22 +302,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fetched = _with_texts(texts.select("k1", "k2", "text"), wanted, "runs", "inner").select("k1", "k2", "text", F.inline("runs"))
     fetched = fetched.select("h", "k1", "k2", "place", "first", "last", "n_contexts", F.substring("text", F.col("first") + 1, F.col("last") - F.col("first") + length).alias("text"))
     fetched = materialize(fetched, "contexts")
-    small = fetched.where(F.col("n_contexts") <= contexts).select("h", "k1", "k2", "first", "text")
-    small = small.repartition("h").sortWithinPartitions("h")
-    spans = whole.union(small.mapInArrow(_refiner(length), _SPAN))
+    ready = fetched.where(F.col("n_contexts") <= contexts).select(F.col("h").alias("bucket"), "k1", "k2", "first", "text")
     large = fetched.where(F.col("n_contexts") > contexts).drop("n_contexts")
     if not large.isEmpty():
-        spans = spans.union(_split_refine(large, length))
-
-    joined = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "end"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
-    return spans.groupBy("k1", "k2").agg(joined.alias("spans")).select("k1", "k2", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+        small, same = _split(large, length, contexts)
+        ready, whole = ready.union(small), whole.union(same)
+    spans = whole.union(ready.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refiner(length), _SPAN))
+    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merger, "k1 bigint, k2 bigint, starts array<int>, ends array<int>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
@@ -301,8 +316,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte inside a string of ``length`` bytes that also starts anywhere else goes: elsewhere in the text,
     overlapping or not, or in another one. Strings are judged on the input and never cross documents. Null texts
-    are empty; texts under ``length`` bytes lose nothing. Rows repeated with id and text are copies of each other.
-    Other columns are not read.
+    are empty; texts under ``length`` bytes lose nothing. Ids may be of any type that orders, and null. Rows repeated
+    with id and text are copies of each other. An empty table gives no rows. Other columns are not read.
     """
     spans = materialize(repeated_spans(docs, id_col, text_col, length, gram, contexts), "spans")
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
