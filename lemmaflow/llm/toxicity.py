@@ -222,9 +222,9 @@ def _featurizer(readers: Callable[[], list[Reader]]):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = readers()
         for b in batches:
-            ids, texts, toxic, folds = (b.column(k).to_pylist() for k in range(4))
+            texts, toxic, folds = (b.column(k).to_pylist() for k in (1, 2, 3))
             rows = [made[f].features(t or b"") for t, f in zip(texts, folds, strict=True)]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(folds, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["id", "toxic", "fold", "x"])
+            yield pa.record_batch([b.column(0), pa.array(toxic, pa.int32()), pa.array(folds, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["id", "toxic", "fold", "x"])
 
     return features
 
@@ -253,11 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     which the calibration is fitted. Without both labels among the rows, the model is their share of ones.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out_column(F.col(id_col)))
-    chosen = chosen.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
+    chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample)
     chosen = materialize(chosen.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(FOLDS)).cast("int")), "chosen")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
-    rows = materialize(rows.dropDuplicates(["id"]), "sample")
+    kind = chosen.schema["id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast(kind).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
+    # of several texts of one id the one with the smallest hash, so that reruns learn the same
+    rows = rows.groupBy("id", "toxic", "fold").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "t.text", "toxic", "fold")
+    rows = materialize(rows, "sample")
     sizes = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     ones, n = sum(v for k, v in sizes.items() if k[1]), sum(sizes.values())
     if not ones or ones == n:
@@ -277,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         kept = [f for f in range(FOLDS) if f != left_out]
         of = [float(sum(sizes.get((f, t), 0) for f in kept)) for t in (0, 1)]
         lexicons.append(_lexicon({bytes(r.word): [float(sum(r[f"c{t}_{f}"] for f in kept)) for t in (0, 1)] for r in telling}, of))
-    found = rows.select("id", "text", "toxic", "fold").mapInArrow(_featurizer(lambda: [Reader(x) for x in lexicons[:-1]]), "id bigint, toxic int, fold int, x array<double>")
+    found = rows.select("id", "text", "toxic", "fold").mapInArrow(_featurizer(lambda: [Reader(x) for x in lexicons[:-1]]), f"id {kind}, toxic int, fold int, x array<double>")
     found = found.orderBy("id").collect()  # at most `sample` rows of a few numbers
     x, y, fold = np.array([r.x for r in found]), np.array([r.toxic for r in found], float), np.array([r.fold for r in found])
     out = np.zeros(len(y))

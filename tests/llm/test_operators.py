@@ -87,7 +87,18 @@ def test_decontamination(spark, odd, rows, monkeypatch):
     assert table(decontaminate.find_contamination(frame(spark, docs[:5]), spark.createDataFrame([], "item_id bigint, text string")), *OP2) == hit_by_brute(docs[:5], [])
     kept = decontaminate.drop_contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
     assert kept.columns == frame(spark, docs).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in hit_by_brute(docs, items) if not r[-1]), key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in hit_by_brute(docs, items) if not r[2]), key=repr)
+
+
+def test_a_passage_in_a_long_text_is_a_leak(spark):
+    rng = random.Random(19)
+    items = [(1, prose(rng, 60)), (2, "just two")]
+    docs = [(1, prose(rng, 5000, 10**6) + " " + items[0][1] + " " + prose(rng, 5000, 10**6)), (2, prose(rng, 900, 10**6)), (3, None), (4, ""), (5, "just two"), (6, "two just")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.find_contamination(frame(spark, docs), bench).where("contaminated").collect()] == [5]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame(spark, docs), bench).collect()) == [2, 3, 4, 6]
+    assert decontaminate.drop_contaminated(frame(spark, docs).limit(0), bench).count() == 0
+    assert decontaminate.drop_contaminated(frame(spark, docs), bench.limit(0)).count() == 6
 
 
 def removed_by_brute(docs, length):
@@ -109,7 +120,7 @@ def removed_by_brute(docs, length):
 OP3 = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-@pytest.mark.parametrize(("contexts", "places"), [(2000, 10**9), (1, 0)])
+@pytest.mark.parametrize(("contexts", "places"), [(2000, 10**9), (1, 0), (3, 0)])
 def test_suffix_dedup(spark, odd, contexts, places, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BROADCAST_PLACES", places)
     docs = [(i, t if t is None else t[:5000]) for i, t in odd]
@@ -118,6 +129,31 @@ def test_suffix_dedup(spark, odd, contexts, places, monkeypatch):
     assert sum(r[2] for r in got) > 1000
 
 
+@pytest.mark.parametrize("contexts", [4, 40, 500])
+def test_a_passage_in_many_surroundings(spark, contexts):
+    """A bucket of many different contexts is split until it can be refined; copies and shared parts are all found."""
+    rng = random.Random(22)
+    shared = prose(rng, 70)
+    docs = []
+    for i in range(120):
+        k = rng.choice([0, 0, 40, 90, 150])
+        docs.append((f"d{i}", prose(rng, 40) + shared[k:] + (prose(rng, 40) if i % 3 else "")))
+    docs += docs[:9]
+    got = table(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id string, text string"), length=120, gram=24, contexts=contexts), *OP3)
+    assert got == removed_by_brute(docs, 120)
+
+
+def test_refining_is_bounded_in_memory():
+    import tracemalloc
+
+    rng = random.Random(23)
+    contexts = [rng.randbytes(736) for _ in range(suffix_dedup.BLOCK // 736)] + [bytes(736)] * suffix_dedup.CONTEXTS
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(contexts)
+    assert tracemalloc.get_traced_memory()[1] < 90 * sum(map(len, contexts)) < 64 << 20
+    tracemalloc.stop()
+
+
 def test_suffix_dedup_by_the_contract_length(spark):
     rng = random.Random(2)
     shared = prose(rng, 90)
@@ -336,6 +372,14 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(frame(spark, [(1, "x")]).limit(0), none).count() == 0
 
 
+def test_toxicity_of_string_ids(spark):
+    docs, labels = labelled(random.Random(14), 200)
+    named = [(f"d{i}", t) for i, t in docs] + [("d0", "another text of the id"), (None, "idiot")]
+    df, lab = spark.createDataFrame(named, "doc_id string, text string"), spark.createDataFrame([(f"d{i}", t) for i, _, t in labels], "doc_id string, toxic int")
+    a, b = (sorted(map(repr, toxicity.toxicity(d, lab).collect())) for d in (df, df.repartition(5)))
+    assert a == b and len(a) == len(named)
+
+
 def test_held_out_labels_do_not_matter(spark):
     import zlib
 
@@ -405,8 +449,75 @@ def test_pivotal_rounding_is_fair(spark):
     assert 0.2 < sum(counts.values()) / (60 * 12) < 0.4 and sum(c > 0 for c in counts.values()) > 40
 
 
+def pivot_by_brute(rows, n, seed, block):
+    """The reduction tree in plain Python: rows {id: (size, p)}, with Spark's hashes of the ids at hand."""
+    import math
+
+    ids, hashes = rows
+    done, level, now = {}, 0, dict(ids)
+    while True:
+        width = block ** (level + 1)
+        blocks = {}
+        for i in now:
+            blocks.setdefault(hashes[i]["b"][level] % (math.ceil(n / width) if n > width else 1), []).append(i)
+        rest = {}
+        for members in blocks.values():
+            carry = None
+            for i in sorted(members, key=lambda i: hashes[i]["o"]):
+                size, p = now[i]
+                if carry is None:
+                    carry = (i, size, p)
+                    continue
+                j, size_j, q = carry
+                up, down = min((1 - q) * size_j, p * size), min(q * size_j, (1 - p) * size)
+                to_first = hashes[i]["u"] * (up + down) < down  # the first gives mass when it is below
+                first_done = (1 - q) * size_j <= p * size if to_first else q * size_j <= (1 - p) * size
+                value = 1.0 if to_first == first_done else 0.0
+                moved = -up if to_first else down
+                if first_done:
+                    done[j], carry = value, (i, size, min(1.0, max(0.0, p + moved / size)))
+                else:
+                    done[i], carry = value, (j, size_j, min(1.0, max(0.0, q - moved / size_j)))
+            rest[carry[0]] = carry[1:]
+        level += 1
+        if width >= n:
+            break
+        now = rest
+    for i, (_, p) in rest.items():
+        done[i] = 1.0 if hashes[i]["last"][level] < p else 0.0
+    return done
+
+
+def test_pivotal_rounding_by_brute_force(spark):
+    rng = random.Random(31)
+    data = [("g", i, rng.randrange(1, 500), rng.random(), 300) for i in range(300)]
+    rows = spark.createDataFrame(data, "group string, id bigint, size bigint, p double, n bigint")
+    u = lambda *k: F.shiftrightunsigned(F.xxhash64(*k), 11).cast("double") / F.lit(float(2**53))
+    h = rows.select("id", F.xxhash64("id", F.lit(5)).alias("o"), u("id", F.lit(6)).alias("u"), F.array(*(F.xxhash64("id", F.lit(7 + k)) for k in range(5))).alias("b"), F.array(*(u("id", F.lit(6), F.lit(k)) for k in range(6))).alias("last"))
+    hashes = {r.id: r.asDict() for r in h.collect()}
+    want = pivot_by_brute(({r[1]: (r[2], r[3]) for r in data}, hashes), 300, 5, 8)
+    got = {r.id: r.p for r in mixing.pivotal_round(rows, 300, 5, block=8).collect()}
+    assert got == want and 0 < sum(got.values()) < 300
+
+
+def test_mixing_of_equal_ids(spark):
+    """Rows of one id, or none, are dealt like others; equal rows share what they are wanted together."""
+    rng = random.Random(32)
+    docs = [(None if i % 2 else "one", prose(rng, rng.randrange(1, 50)), "a") for i in range(900)] + [("same", "five words are in here", "b")] * 25_000 + [("x", None, "b"), ("y", "a b", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(docs)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) and all(r.taken <= 2 * r.size for r in mine)
+    docs = mixing.apply_mix(df.withColumn("copies", F.lit("old")))
+    assert docs.columns == ["doc_id", "text", "source", "copies"]
+    assert sorted(((r.doc_id, r.source, r.copies) for r in docs.where("doc_id != 'same'").collect()), key=repr) == sorted(((r.doc_id, r.source, r.copies) for r in got if r.taken and r.doc_id != "same" and r.doc_id), key=repr)
+    assert [r.copies for r in docs.where("doc_id = 'same'").collect()] == [sum(r.copies for r in got if r.doc_id == "same")]
+
+
 def test_mixing_of_nothing(spark):
-    assert mixing.mix_sources(frame(spark, [(1, "x")]).limit(0)).count() == 0
+    assert mixing.mix_sources(frame(spark, [(1, "x")]).limit(0)).count() == 0 and mixing.apply_mix(frame(spark, [(1, "x")]).limit(0)).count() == 0
     got = mixing.mix_sources(frame(spark, [(1, None), (2, "")])).collect()
     assert [(r.target, r.taken) for r in got] == [(0.0, 0), (0.0, 0)]
 
