@@ -7,15 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import by_value, connected_components, fresh, materialize
 
 SEED, SHINGLE = 42, 3
-#: Postings up to which a bucket's pairs are tallied; larger ones go by neighbours.
-POSTINGS = 32
+#: Postings of a key up to which its pairs are listed; larger ones are listed by longer keys first, under which 256 meet at most.
+POSTINGS = 256
 #: Rows of an id and a hash (16 bytes) up to which they are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 
@@ -53,45 +52,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, f"id {kind}, key bigint, print bigint")
 
 
+def _masked(keep: tuple[int, ...]) -> Column:
+    """The fingerprint with only the bytes at the positions ``keep``."""
+    mask = sum(0xFF << (8 * k) for k in keep)
+    return F.col("print").bitwiseAND(mask - (1 << 64) if mask >> 63 else mask)
+
+
 def links(prints: DataFrame, bits: int = 2, postings: int = POSTINGS) -> DataFrame:
-    """Edges ``(src, dst)`` that connect the distinct fingerprints ``print`` within ``bits`` (at most 2) differing bits.
+    """Edges ``(src, dst)`` of the distinct fingerprints ``print`` within ``bits`` (at most 2) differing bits.
 
-    Two fingerprints that differ in d bits share at least 8 - d of their 8 positional bytes, and both halves of
-    at least 4 - d of the 4 byte pairs. The index therefore lists every fingerprint under each two of its byte
-    pairs, 32 bits a key. In a bucket of up to ``postings`` fingerprints the shared positional bytes of each pair
-    are counted; pairs with 8 - ``bits`` or more are verified bit by bit.
+    Fingerprints that differ in 2 bits share at least 6 of their 8 positional bytes. The inverted index lists each
+    under the 28 choices of 6 positions with the bytes there; a pair that shares m bytes meets under 1 (m = 6) or 7
+    (m = 7) of the keys. Those meetings are tallied per pair, which gives the number of shared bytes; pairs that reach
+    6 are verified bit by bit. Below 6 a pair has no posting in common and never arises.
 
-    A larger bucket would give a pair for any two near copies. Its fingerprints go by neighbours instead: each is
-    listed under itself and under its 64 neighbours at one bit. Two are within 2 bits if and only if they meet
-    somewhere, and at most 65 meet in one place, where a chain links them. That is as exact, and linear.
+    Under a key all that can differ is the two bytes left out. A list of more than ``postings`` is taken apart by
+    longer keys before its pairs are listed: within 2 bits a pair also shares one of those two bytes, or half of
+    each, so it meets under one of six longer keys, each of 7 bytes, under which 256 fingerprints meet at most. So
+    every pair listed shares the guaranteed bytes, and a fingerprint has a bounded number of partners in any data.
     """
     if not 0 <= bits <= 2:
         raise ValueError("the index guarantees matches up to 2 differing bits")
-    keys = []
-    for k, (a, b) in enumerate(combinations(range(4), 2)):
-        two = F.shiftrightunsigned("print", 16 * a).bitwiseAND(0xFFFF) + F.shiftleft(F.shiftrightunsigned("print", 16 * b).bitwiseAND(0xFFFF), 16)
-        keys.append(F.shiftleft(F.lit(k).cast("long"), 32) + two)
-    index = materialize(prints.select("print", F.explode(F.array(*keys)).alias("key")), "index")
-    counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(index.join(counts, "key"), "met")
-
-    few = met.where(F.col("n") <= postings).groupBy("key").agg(F.sort_array(F.collect_list("print")).alias("m"))
+    choices = list(combinations(range(8), 6))
+    keys = F.array(*(F.struct(F.lit(k).alias("choice"), _masked(c).alias("bytes")) for k, c in enumerate(choices)))
+    index = materialize(prints.select("print", F.inline(keys)), "index")
+    counts = index.groupBy("choice", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(index.join(counts, ["choice", "bytes"]), "met")
+
+    free = F.array(*(F.array(*(F.lit(8 * p) for p in range(8) if p not in c)) for c in choices))
+    left = [F.call_function("shiftrightunsigned", F.col("print"), F.get(F.get(free, F.col("choice")), F.lit(j))).bitwiseAND(0xFF) for j in (0, 1)]
+    longer = [left[0], left[1]] + [(a.bitwiseAND(15) if low else F.shiftright(a, 4)) * 16 + (b.bitwiseAND(15) if low_b else F.shiftright(b, 4)) for a, b in (left,) for low in (0, 1) for low_b in (0, 1)]
+    longer = F.array(*(x.cast("int") + F.lit(256 * k) for k, x in enumerate(longer)))
+    lists = met.select("choice", "bytes", "print", F.explode(F.when(F.col("n") > postings, longer).otherwise(F.array(F.lit(-1)))).alias("longer"))
+    lists = lists.groupBy("choice", "bytes", "longer").agg(F.sort_array(F.collect_list("print")).alias("m")).where(F.size("m") > 1)
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
-    pairs = few.select(F.inline(pairs))
-    x = F.col("src").bitwiseXOR(F.col("dst"))
-    tally = sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(255) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
-    pairs = pairs.where((tally >= 8 - bits) & (F.bit_count(x) <= bits)).distinct()
-
-    many = met.where(F.col("n") > postings).select("print").distinct()
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("print").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    around = many.select("print", F.explode(F.concat(F.array("print"), flips)).alias("center"))
-    before = F.lag("print").over(Window.partitionBy("center").orderBy("print"))
-    chain = around.select(before.alias("src"), F.col("print").alias("dst")).where("src is not null")
-    if bits < 2:  # all of a center's fingerprints are within 2 bits; closer ones need a look at each pair
-        met_at = around.groupBy("center").agg(F.sort_array(F.collect_list("print")).alias("m"))
-        all_pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.greatest(F.size("m") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
-        chain = met_at.select(F.inline(all_pairs)).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits)
-    return pairs.union(chain.distinct())
+    meetings = lists.select("choice", F.inline(pairs)).distinct()
+    tally = meetings.groupBy("src", "dst").agg(F.count("*").alias("shared_keys"))
+    shared = F.when(F.col("shared_keys") == len(choices), 8).when(F.col("shared_keys") >= 7, 7).otherwise(6)
+    return tally.where((shared >= 8 - bits) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits)).select("src", "dst")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:

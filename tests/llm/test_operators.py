@@ -223,7 +223,7 @@ def test_simhash(spark, odd):
     assert sum(r.doc_id == 100 for r in kept.collect()) == 1 and not any(r.doc_id in (101, None) for r in kept.collect())
 
 
-@pytest.mark.parametrize("postings", [1, 32])
+@pytest.mark.parametrize("postings", [1, 32, 33, 256])
 def test_links_of_crowded_fingerprints(spark, postings):
     rng = random.Random(7)
     near = {rng.getrandbits(64) for _ in range(40)} | {0, (1 << 64) - 1}
@@ -243,6 +243,19 @@ def test_links_of_crowded_fingerprints(spark, postings):
     assert {frozenset(g) for g in mine.values()} == groups
 
 
+@pytest.mark.parametrize(("bits", "postings"), [(2, 256), (2, 10**6), (1, 256), (0, 256)])
+def test_links_under_one_key(spark, bits, postings):
+    """10,000 fingerprints that share six positional bytes: exactly the pairs within the bits, however the list is taken apart."""
+    rng = random.Random(21)
+    size = 10_000 if postings == 256 else 900
+    tails = rng.sample(range(1 << 16), size)
+    prints = {0x1122334455660000 | (t >> 8 << 8) | (t & 255) for t in tails}
+    masks = [0, *(1 << a for a in range(16)), *((1 << a) | (1 << b) for a in range(16) for b in range(a))]
+    want = {(min(p, p ^ m), max(p, p ^ m)) for p in prints for m in masks if m.bit_count() <= bits and m and p ^ m in prints}
+    got = simhash.links(spark.createDataFrame([(p,) for p in prints], "print bigint"), bits, postings).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "src bigint, dst bigint")
     got = {r.node: r.component for r in common.connected_components(edges).collect()}
