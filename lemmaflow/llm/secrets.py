@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, let, materialize, row_keys
+from .common import fresh, let, materialize, row_keys, running
 
 # Fixed values of the base scan: kind, pattern, group whose length counts, least length of it.
 BASE = [
@@ -34,6 +34,9 @@ PAIRS = (
     "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea "
     "ra ce li ch ll be ma si om ur ei ie sc un ge el la qu ue os ad do sh ec ai us et tr ta il ss ol id pr am em di ac ul"
 ).split()
+#: How symbols follow one another in words, names of code, paths and dates: shares of the next symbol's kind by the one before it.
+#: Kinds: small letter, capital, digit, sign. The first symbol follows a sign.
+FOLLOWS = [(0.85, 0.07, 0.04, 0.04), (0.60, 0.30, 0.05, 0.05), (0.15, 0.15, 0.60, 0.10), (0.50, 0.25, 0.20, 0.05)]
 #: Least information of a token in bits, false-discovery rate, and steps of the grid of p-values a decade.
 MIN_BITS, RATE, STEPS = 80.0, 0.01, 8
 #: Rows of spans (under 200 bytes each) up to which they are broadcast to the texts.
@@ -43,28 +46,50 @@ _SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
 def _places(text: Column, pattern: str, rank: int, keep) -> Column:
-    """Spans of all matches, in code points, of which ``keep(match, number)`` holds.
+    """Spans of all matches, in code points, of which ``keep(match)`` holds.
 
-    A text is its matches and what lies between them, so the lengths of both give the places.
+    A text is its matches and what lies between them, so running sums of the lengths of both give the places.
     """
 
     def spans(matches: Column) -> Column:
-        def fold(pair: Column) -> Column:
-            gaps, kept = pair["gaps"], pair["kept"]
-            start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        def placed(x: Column) -> Column:
+            at = running(F.transform(x["gaps"], lambda g, i: g + F.coalesce(F.get(x["lengths"], i), F.lit(0))), F.lit(0), lambda s, v: s + v)
+            return let(F.struct(at.alias("at"), x["gaps"].alias("gaps"), x["lengths"].alias("lengths"), x["kept"].alias("kept")), lambda y: _spans_of(y, rank))
 
-            def step(s: Column, i: Column) -> Column:
-                at = s["at"] + F.length(F.get(gaps, i))
-                end = at + F.length(F.get(matches, i))
-                span = F.array(F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-                return F.struct(end.alias("at"), F.when(F.get(kept, i), F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+        parts = F.struct(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gaps"), F.transform(matches, lambda m: F.length(m)).alias("lengths"), F.transform(matches, keep).alias("kept"))
+        return F.when(F.size(matches) > 0, let(parts, placed)).otherwise(F.array().cast(_SPAN))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step)["out"]
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
-        pair = F.struct(F.split(text, pattern, -1).alias("gaps"), F.transform(matches, keep).alias("kept"))
-        return F.when(F.size(matches) > 0, let(pair, fold)).otherwise(F.array().cast(_SPAN))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+def _spans_of(y: Column, rank: int) -> Column:
+    def span(n: Column, i: Column) -> Column:
+        start = F.get(y["at"], i) + F.get(y["gaps"], i)
+        return F.when(F.get(y["kept"], i), F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + n).alias("end")))
+
+    return F.filter(F.transform(y["lengths"], span), lambda x: x.isNotNull())
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that overlap none of ``base``, which is sorted: by bisection for the last that starts before the end."""
+
+    def look(x: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(base).cast("double") + 1)).cast("int"))
+
+        def before(m: Column) -> Column:  # number of base spans that start before the end of m
+            def step(s: Column, _: Column) -> Column:
+                mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+                right = F.get(base, mid)["start"] < m["end"]
+                go = s["lo"] < s["hi"]
+                return F.struct(F.when(go & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~right, mid).otherwise(s["hi"]).alias("hi"))
+
+            return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi")), step)["lo"]
+
+        # reach of all base spans before the i-th; its last value is the reach of all
+        return F.filter(spans, lambda m: F.get(x, before(m)) <= m["start"])
+
+    reach = running(F.concat(F.transform(base, lambda b: b["end"]), F.array(F.lit(0))), F.lit(0), lambda s, v: F.greatest(s, v))
+    return F.when((F.size(base) > 0) & (F.size(spans) > 0), let(reach, look)).otherwise(spans)
 
 
 def _base_spans(text: Column, rank: int) -> Column:
@@ -77,28 +102,33 @@ def _base_spans(text: Column, rank: int) -> Column:
 def _normal_tail(z: Column) -> Column:
     """P(N > z) by Abramowitz and Stegun 26.2.17, within 1e-7."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    poly = let(t, lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
     upper = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
-    return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-40))
+    return let(upper, lambda u: F.greatest(F.when(z >= 0, u).otherwise(1 - u), F.lit(1e-40)))
 
 
-def _constants(name: str, letters: str) -> Column:
-    """What the battery needs of an encoding, as a struct."""
+def facts(letters: str) -> dict:
+    """What the battery needs of an encoding: shares and scores of its symbols in prose, and how words would spell them."""
     k = len(letters)
     times = {x: letters.lower().count(x) for x in LETTERS}
     scores = {x: math.log(LETTERS[x.lower()] / 100 + 0.002) for x in letters if x.isalpha()}
     mean = sum(scores.values()) / len(scores)
-    cases = any(map(str.islower, letters)) and any(map(str.isupper, letters))
-    return F.struct(
-        F.lit(name).alias("name"), F.lit(letters).alias("letters"), F.lit(float(k)).alias("k"),
-        F.lit(sum(times[a] * times[b] for a, b in PAIRS) / k**2).alias("pair"), F.array(*(F.lit(scores.get(x, mean) - mean) for x in letters)).alias("scores"),
-        F.lit(math.sqrt(sum((x - mean) ** 2 for x in scores.values()) / len(scores))).alias("sd"),
-        F.lit(len(scores) / k).alias("share"), F.lit(cases).alias("cases"),
-    )
+    kinds = [0 if x.islower() else 1 if x.isupper() else 2 if x.isdigit() else 3 for x in letters]
+    of_kind = [math.log(LETTERS[x.lower()] / 100) if x.isalpha() else math.log(1 / 10 if x.isdigit() else 1 / 2) for x in letters]
+    return {
+        "k": float(k), "pair": sum(times[a] * times[b] for a, b in PAIRS) / k**2, "scores": [scores.get(x, mean) - mean for x in letters],
+        "sd": math.sqrt(sum((x - mean) ** 2 for x in scores.values()) / len(scores)), "share": len(scores) / k,
+        "cases": any(map(str.islower, letters)) and any(map(str.isupper, letters)), "kinds": kinds, "words": of_kind,
+    }
+
+
+def _constants(name: str, letters: str) -> Column:
+    fixed = [F.array(*map(F.lit, v)).alias(k) if isinstance(v, list) else F.lit(v).alias(k) for k, v in facts(letters).items()]
+    return F.struct(F.lit(name).alias("name"), F.lit(letters).alias("letters"), *fixed)
 
 
 def battery(tokens: DataFrame, col: str = "token") -> DataFrame:
-    """Adds ``encoding``, ``bits`` and ``p``: how likely a uniform random string looks as odd as the token.
+    """Adds ``encoding``, ``bits``, ``p`` and ``p_word``: how likely a uniform random string looks as odd as the token, and a word as random.
 
     Three tests on the symbols' numbers in the alphabet: chi-squared of the counts against a uniform alphabet
     (Wilson and Hilferty's cube root), Wald and Wolfowitz's runs below and above the middle of the alphabet, and
@@ -107,6 +137,12 @@ def battery(tokens: DataFrame, col: str = "token") -> DataFrame:
     prose, and the common pairs of letters (square root of the count). All have the uniform alphabet as null
     hypothesis. Fisher's sum joins them; as some look at the same counts, its variance is about 36 (simulated)
     and not 24, so it counts as four independent tests (Brown, 1975). Null tokens have null results.
+
+    ``p_word`` is for the other null hypothesis, that the token is spelled as words, names and numbers are: symbols
+    of the kinds in ``FOLLOWS``, letters by their shares in prose. The likelihood ratio of the uniform alphabet to
+    that model has mean 1 under it, so it is r or more with a probability of at most 1 / r (Markov), whatever the length.
+
+    Each statistic is a column of its own, so that none is computed twice; one fold over the symbols gives the sums.
     """
     core = F.regexp_replace(col, "=+$", "")
     bare = F.replace(core, F.lit("-"), F.lit(""))
@@ -120,37 +156,57 @@ def battery(tokens: DataFrame, col: str = "token") -> DataFrame:
     symbols = let(F.struct(F.col("_t").alias("s"), F.col("_e.letters").alias("a")), lambda x: F.transform(F.sequence(F.lit(1), F.length(x["s"])), lambda i: F.instr(x["a"], F.substr(x["s"], i, F.lit(1))) - 1))
     t = t.withColumn("_v", symbols)
     n, k = F.col("_n"), F.col("_e.k")
+    follows = F.array(*(F.lit(math.log(x)) for row in FOLLOWS for x in row))
+    zero = {"sum": F.lit(0.0), "squares": F.lit(0.0), "lagged": F.lit(0.0), "high": F.lit(0.0), "turns": F.lit(1.0), "prose": F.lit(0.0), "words": F.lit(0.0), "last": F.lit(-1), "kind": F.lit(3)}
+
+    def step(s: Column, v: Column) -> Column:
+        first, up, was_up, kind = s["last"] < 0, v >= k / 2, s["last"] >= k / 2, F.get("_e.kinds", v)
+        now = {
+            "sum": s["sum"] + v, "squares": s["squares"] + v * v, "lagged": s["lagged"] + F.when(first, 0).otherwise(v * s["last"]), "high": s["high"] + up.cast("double"),
+            "turns": s["turns"] + (~first & (up != was_up)).cast("double"), "prose": s["prose"] + F.get("_e.scores", v),
+            "words": s["words"] + F.get("_e.words", v) + F.get(F.col("_follows"), s["kind"] * 4 + kind), "last": v, "kind": kind,
+        }
+        return F.struct(*(x.alias(name) for name, x in now.items()))
+
+    t = t.withColumn("_follows", follows).withColumn("_s", F.aggregate("_v", F.struct(*(x.alias(name) for name, x in zero.items())), step))
     counts = F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda a: F.size(F.filter("_v", lambda v: v == a)))
-    chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c - n / k) * (c - n / k) / (n / k))
-    df = k - 1
-    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    high = F.aggregate("_v", F.lit(0.0), lambda s, v: s + F.when(v >= k / 2, 1.0).otherwise(0.0))
-    pairs = F.sequence(F.lit(1), F.size("_v") - 1)
-    turns = F.aggregate(pairs, F.lit(1.0), lambda s, i: s + F.when((F.get("_v", i) >= k / 2) != (F.get("_v", i - 1) >= k / 2), 1.0).otherwise(0.0))
-    low = n - high
-    mean = 2 * low * high / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    z_runs = F.when(var > 0, (turns - mean) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(F.lit(9.0))
-    avg = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v) / n
-    around = F.aggregate("_v", F.lit(0.0), lambda s, v: s + (v - avg) * (v - avg))
-    lagged = F.aggregate(pairs, F.lit(0.0), lambda s, i: s + (F.get("_v", i) - avg) * (F.get("_v", i - 1) - avg))
-    z_corr = F.when(around > 0, (lagged / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
+    common = F.size(F.filter(F.sequence(F.lit(1), F.size("_v") - 1), lambda i: F.lower(F.substr("_t", i, F.lit(2))).isin(PAIRS)))
     small, letters = (F.length(F.regexp_replace("_t", other, "")).cast("double") for other in ("[^a-z]", "[^A-Za-z]"))
-    part, of, share = F.when(F.col("_e.cases"), small).otherwise(letters), F.when(F.col("_e.cases"), letters).otherwise(n), F.when(F.col("_e.cases"), 0.5).otherwise(F.col("_e.share"))
-    z_kind = F.when(of > 0, (part - of * share) / F.sqrt(F.greatest(of, F.lit(1.0)) * share * (1 - share))).otherwise(0.0)
-    z_prose = F.when(letters > 0, F.aggregate("_v", F.lit(0.0), lambda s, v: s + F.get("_e.scores", v)) / F.col("_e.sd") / F.sqrt(F.greatest(letters, F.lit(1.0)))).otherwise(0.0)
-    common = F.size(F.filter(pairs, lambda i: F.lower(F.substr("_t", i, F.lit(2))).isin(PAIRS)))
-    z_pairs = 2 * (F.sqrt(common.cast("double")) - F.sqrt((n - 1) * F.col("_e.pair")))
-    logs = [_normal_tail(z_chi), 2 * _normal_tail(F.abs(z_runs)), 2 * _normal_tail(F.abs(z_corr)), 2 * _normal_tail(F.abs(z_kind)), _normal_tail(z_prose), _normal_tail(z_pairs)]
-    t = t.withColumn("_h", F.greatest(-sum((F.log(x) for x in logs), F.lit(0.0)) * 2 / 3, F.lit(0.0)))
+    t = t.withColumns({"_chi": F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c - n / k) * (c - n / k) / (n / k)), "_common": common.cast("double"), "_small": small, "_letters": letters})
+    s, letters, high = (lambda name: F.col(f"_s.{name}")), F.col("_letters"), F.col("_s.high")
+    avg, ends = s("sum") / n, F.get("_v", F.lit(0)) + s("last")
+    t = t.withColumns({"_mean": 2 * (n - high) * high / n + 1, "_around": s("squares") - n * avg * avg, "_lagged": s("lagged") - avg * (2 * s("sum") - ends) + (n - 1) * avg * avg})
+    t = t.withColumns({
+        "_of": F.when(F.col("_e.cases"), letters).otherwise(n), "_part": F.when(F.col("_e.cases"), F.col("_small")).otherwise(letters), "_share": F.when(F.col("_e.cases"), 0.5).otherwise(F.col("_e.share")),
+        "_var": (F.col("_mean") - 1) * (F.col("_mean") - 2) / (n - 1),
+    })
+    df, of, share = k - 1, F.col("_of"), F.col("_share")
+    t = t.withColumns({
+        "_z0": (F.pow(F.col("_chi") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
+        "_z1": F.when(F.col("_var") > 0, (s("turns") - F.col("_mean")) / F.sqrt(F.greatest("_var", F.lit(1e-9)))).otherwise(F.lit(9.0)),
+        "_z2": F.when(F.col("_around") > 1e-6, (F.col("_lagged") / F.greatest("_around", F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0)),
+        "_z3": F.when(of > 0, (F.col("_part") - of * share) / F.sqrt(F.greatest(of, F.lit(1.0)) * share * (1 - share))).otherwise(0.0),
+        "_z4": F.when(letters > 0, s("prose") / F.col("_e.sd") / F.sqrt(F.greatest(letters, F.lit(1.0)))).otherwise(0.0),
+        "_z5": 2 * (F.sqrt("_common") - F.sqrt((n - 1) * F.col("_e.pair"))),
+    })
+    tails = [let(F.col(f"_z{j}"), _normal_tail) if j in (0, 4, 5) else let(F.abs(f"_z{j}"), lambda z: 2 * _normal_tail(z)) for j in range(6)]
+    t = t.withColumn("_h", F.greatest(-sum((F.log(x) for x in tails), F.lit(0.0)) * 2 / 3, F.lit(0.0)))
     h = F.col("_h")
-    return t.withColumn("p", F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6)).drop("_e", "_t", "_v", "_n", "_h")
+    ratio = -n * F.log(k) - s("words")
+    t = t.withColumns({"p": F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6), "p_word": F.exp(F.greatest(F.least(-ratio, F.lit(0.0)), F.lit(-90.0)))})
+    return t.select(*tokens.columns, "encoding", "bits", "p", "p_word")
+
+
+def _step(p: str) -> Column:
+    """The place of a probability on the grid, rounded up."""
+    return F.floor(-F.log10(F.greatest(p, F.lit(1e-40))) * STEPS)
 
 
 def not_random(tokens: DataFrame, rate: float = RATE) -> DataFrame:
     """``(encoding, octave, most)``: the grid step of ``p`` from which tokens of a stratum are dismissed.
 
-    Each distinct token is one test, however many copies of it ``tokens`` has.
+    Each distinct token is one test, however many copies of it ``tokens`` has. With ``step`` from ``p_word`` the
+    discovery is that a token is not words, so that at most ``rate`` of the alarms are false.
     Benjamini and Hochberg's rule by encoding and octave of length, where the discovery is that a token is
     not random: among the dismissed at most ``rate`` are random in the mean. p-values are counted on a grid of
     ``STEPS`` a decade (rounded up), so that a stratum of any size is at most 321 counts.
@@ -168,9 +224,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are ``(start, rank, end)`` in code points, the end exclusive; ``rank`` counts in ``KINDS``. The base
     scan takes the matches of each kind, leftmost and without overlap, and drops those too short. Further runs
     of letters, digits and ``+/_-`` off the base spans are put to the battery where their encoding gives them at
-    least ``MIN_BITS`` bits; those that are not found to be regular get kind ``random``. Null and
-    empty texts have no spans. Rows repeated with id and text have the same spans each. ``(k1, k2)`` is a null
-    safe key of id and text. Other columns are not read.
+    least ``MIN_BITS`` bits. A run gets kind ``random`` if it isn't found to be regular and is found not to be words:
+    both are discoveries of ``not_random``'s rule by encoding and length over the distinct tokens of all documents,
+    the second with the hypotheses exchanged, so that false alarms and dismissed secrets are both held to ``rate``.
+
+    Null and empty texts have no spans. Ids may be of any type. Rows repeated with id and text have the same spans
+    each. ``(k1, k2)`` is a null-safe key of id and text. An empty table gives no rows. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), text.alias("text"))
@@ -178,14 +237,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = rf"[A-Za-z0-9+/_-]{{{shortest},}}"
     base = F.array_sort(F.concat(*(_base_spans(F.col("text"), r) for r in range(len(BASE)))))
     more = _places(F.col("text"), runs, len(BASE), lambda m: F.lit(True))
-    both = let(base, lambda b: F.struct(b.alias("base"), F.filter(more, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))).alias("more")))
+    both = let(base, lambda b: let(more, lambda m: F.struct(b.alias("base"), _outside(m, b).alias("more"))))
     found = d.select("id", "k1", "k2", let(both, lambda x: F.struct(x["base"].alias("base"), F.transform(x["more"], lambda m: F.struct(m.alias("span"), F.substr(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("token"))).alias("more"))).alias("f"))
     found = materialize(found.select("id", "k1", "k2", "f.base", "f.more"), "secrets")
-    tokens = battery(found.where(F.size("more") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.inline("more")))
-    tokens = tokens.withColumn("octave", F.floor(F.log2(F.length("token")))).withColumn("step", F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * STEPS))
-    tokens = materialize(tokens.where(F.col("bits") >= MIN_BITS).select("k1", "k2", "span", "token", "encoding", "octave", "step"), "tokens")
-    limits = not_random(tokens, rate)  # at most one row for each encoding and octave of length
-    kept = tokens.join(F.broadcast(limits), ["encoding", "octave"], "left").where(F.col("most").isNull() | (F.col("step") < F.col("most")))
+    runs = found.where(F.size("more") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.inline("more"))
+    tokens = battery(runs).where(F.col("bits") >= MIN_BITS).withColumns({"octave": F.floor(F.log2(F.length("token"))), "step": _step("p"), "word_step": _step("p_word")})
+    tokens = materialize(tokens.select("k1", "k2", "span", "token", "encoding", "octave", "step", "word_step"), "tokens")
+    # both tables of limits have at most one row for each encoding and octave of length
+    regular = not_random(tokens, rate)
+    secret = not_random(tokens.drop("step").withColumnRenamed("word_step", "step"), rate).withColumnRenamed("most", "least")
+    kept = tokens.join(F.broadcast(regular), ["encoding", "octave"], "left").join(F.broadcast(secret), ["encoding", "octave"])
+    kept = kept.where((F.col("most").isNull() | (F.col("step") < F.col("most"))) & (F.col("word_step") >= F.col("least")))
     kept = kept.groupBy("k1", "k2").agg(F.collect_list("span").alias("random"))
     out = found.select("id", "k1", "k2", "base").join(kept, ["k1", "k2"], "left")
     return out.select("id", "k1", "k2", "base", F.array_sort(F.concat("base", F.coalesce("random", F.array().cast(_SPAN)))).alias("all"))

@@ -73,3 +73,43 @@ def quality(text):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     hit = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
+
+
+def battery(token):
+    """(encoding, p, p_word) of a token: the tests of randomness in plain Python."""
+    import math
+
+    from lemmaflow.llm import secrets
+
+    core = token.rstrip("=")
+    for name, letters, shape in secrets.ENCODINGS:
+        t = core if name == "base64" else core.replace("-", "")
+        if re.fullmatch(shape.strip("^$"), t):
+            break
+    if name == "base64":
+        t = t.replace("-", "+").replace("_", "/")
+    e, n, k = secrets.facts(letters), len(t), len(letters)
+    v = [letters.index(x) for x in t]
+    chi = sum((v.count(a) - n / k) ** 2 / (n / k) for a in range(k))
+    z = [((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))]
+    up = [x >= k / 2 for x in v]
+    high, turns = sum(up), 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mean = 2 * (n - high) * high / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z.append((turns - mean) / math.sqrt(var) if var > 0 else 9.0)
+    avg = sum(v) / n
+    around = sum((x - avg) ** 2 for x in v)
+    z.append((sum((a - avg) * (b - avg) for a, b in zip(v, v[1:])) / around + 1 / n) * math.sqrt(n) if around > 1e-6 else 9.0)
+    alpha, small = sum(x.isalpha() for x in t), sum(x.islower() for x in t)
+    of, part, share = (alpha, small, 0.5) if e["cases"] else (n, alpha, e["share"])
+    z.append((part - of * share) / math.sqrt(of * share * (1 - share)) if of else 0.0)
+    z.append(sum(e["scores"][x] for x in v) / e["sd"] / math.sqrt(alpha) if alpha else 0.0)
+    z.append(2 * (math.sqrt(sum(t[i : i + 2].lower() in secrets.PAIRS for i in range(n - 1))) - math.sqrt((n - 1) * e["pair"])))
+    tail = lambda x: max(math.erfc(x / math.sqrt(2)) / 2, 1e-40)
+    p = [tail(z[0]), *(2 * tail(abs(x)) for x in z[1:4]), tail(z[4]), tail(z[5])]
+    h = max(0.0, -sum(map(math.log, p)) * 2 / 3)
+    words, kind = 0.0, 3
+    for x in v:
+        words += e["words"][x] + math.log(secrets.FOLLOWS[kind][e["kinds"][x]])
+        kind = e["kinds"][x]
+    return name, math.exp(-h) * (1 + h + h * h / 2 + h**3 / 6), math.exp(max(-90.0, min(0.0, n * math.log(k) + words)))
