@@ -33,30 +33,36 @@ def reversed_host(host):
 
 
 def _boundaries(rules: DataFrame) -> DataFrame:
-    """``(key, at, top, length)``: where the innermost active rule of a host key changes.
+    """``(key, at, kind, top)``: where the innermost active rule of a host key changes, and which it is from there on.
 
     Paths that begin with a rule's path are the interval from the path to the path with a byte 0xFF, which no
-    UTF-8 text holds. Intervals of one key nest or are disjoint. A start pushes the rule on the stack; an end
-    pops it and bares the rule around it, the longest proper prefix among the rules of the key.
+    UTF-8 text holds. Intervals of one key nest or are disjoint. One sorted sweep keeps the stack of active rules: a
+    start pushes its rule, an end pops it, and the running sum of both is the height. What lies at some height of the
+    stack is the last rule pushed to that height, so the top after an end is the last start of the height that is
+    left. Both passes sort the rules of a key and look at each once, however deep they nest.
     """
     r = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
     r = r.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # of contradicting twins, block goes before allow
-    r = r.select(reversed_host(F.col("host")).alias("key"), "path", F.struct(F.concat("host", "path").alias("rule"), "verdict").alias("top"))
-    outer = r.select(F.col("key").alias("k"), F.col("path").alias("outer_path"), F.col("top").alias("outer"))
-    inside = (F.col("k") == F.col("key")) & F.col("path").startswith(F.col("outer_path")) & (F.col("path") != F.col("outer_path"))
-    around = r.join(outer, inside, "left").groupBy("key", "path", "top").agg(F.max_by("outer", F.length("outer_path")).alias("outer"))
-    starts = r.select("key", F.col("path").cast("binary").alias("at"), "top", F.lit(1).alias("kind"))
-    ends = around.select("key", F.concat(F.col("path").cast("binary"), F.lit(b"\xff")).alias("at"), F.col("outer").alias("top"), F.lit(0).alias("kind"))
-    return starts.union(ends)
+    r = r.select(reversed_host(F.col("host")).alias("key"), F.col("path").cast("binary").alias("path"), F.struct(F.concat("host", "path").alias("rule"), "verdict").alias("rule"))
+    start = F.struct(F.col("path").alias("at"), F.lit(1).alias("kind"), F.col("rule").alias("pushed"))
+    end = F.struct(F.concat("path", F.lit(b"\xff")).alias("at"), F.lit(0).alias("kind"), F.when(F.lit(False), F.col("rule")).alias("pushed"))
+    events = r.select("key", F.inline(F.array(start, end)))
+    sweep = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("height", F.sum(F.col("kind") * 2 - 1).over(sweep))
+    slot = Window.partitionBy("key", "height").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    top = F.when(F.col("height") > 0, F.last("pushed", ignorenulls=True).over(slot))
+    return events.select("key", "at", "kind", top.alias("top"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(id, host, path, rule, verdict)``, a row for each row of ``pages``.
 
+    Null hosts and paths of rules fit nothing; of contradicting rules with one host and path, block goes before allow.
     A rule ``(host, path, verdict)`` fits its host and every subdomain where the URL's path begins with the
     rule's path. Of fitting rules the one with the longest host and path wins; of equally long ones the
     longer host. Without one the rule is null and the verdict ``default``. Null URLs and those without
-    ``://`` have an empty host and path. Repeated rows stay; other columns are not read.
+    ``://`` have an empty host and path. Ids may be of any type, equal and null; repeated rows stay. Empty tables of
+    pages or rules are fine. Other columns are not read.
 
     Plan: every URL is probed under its host and each parent domain, reversed, that has rules. Distinct
     probes and the rules' boundaries are sorted together by key and path; one sweep hands each probe the top

@@ -317,6 +317,31 @@ def test_url_rules(spark, size, monkeypatch):
     assert urlfilter.judge_urls(pages.limit(0), urlfilter.rule_table(spark, RULES)).count() == 0
 
 
+def test_contradicting_and_missing_rules(spark):
+    rules = [("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("com", "/x/123", "allow"), ("a.com", "/x/y", "allow"), (None, "/x", "block"), ("a.com", None, "block")]
+    pages = spark.createDataFrame([("p", "http://a.com/x"), ("q", "http://a.com/x/12345"), ("r", "http://b.a.com/x/y/z"), (None, "http://c.com/x/1234"), (None, None)], "page_id string, url string")
+    got = table(urlfilter.judge_urls(pages, urlfilter.rule_table(spark, rules)), "page_id", "rule", "verdict")
+    # a.com/x/ and com/x/123 fit q: the longer one wins, and of equal lengths the longer host
+    assert got == sorted([("p", "a.com/x", "block"), ("q", "com/x/123", "allow"), ("r", "a.com/x/y", "allow"), (None, "com/x/123", "allow"), (None, None, "allow")], key=repr)
+    assert urlfilter.judge_urls(pages, urlfilter.rule_table(spark, rules).limit(0)).where("verdict != 'allow' or rule is not null").count() == 0
+
+
+def test_many_rules_of_one_host(spark):
+    """100,000 rules on one host, some nested hundreds deep: the sweep takes each once."""
+    deep = ["/" + "d/" * k for k in range(300)]
+    flat = [f"/p{k}/" for k in range(50_000)] + [f"/p{k}/sub" for k in range(49_700)]
+    rules = [("x.com", p, "block" if k % 2 else "allow") for k, p in enumerate(deep + flat)]
+    urls = [(k, f"http://x.com/{'d/' * (k % 320)}z") for k in range(400)] + [(1000 + k, f"http://www.x.com/p{k * 7}/{'sub1' if k % 2 else 't'}") for k in range(3000)]
+    known = {p: v for _, p, v in rules}
+    want = []
+    for i, u in urls:
+        path = "/" + u.split("/", 3)[3]
+        best = next((path[:n] for n in range(len(path), -1, -1) if path[:n] in known), None)
+        want.append((i, best and "x.com" + best, known.get(best, "allow")))
+    got = table(urlfilter.judge_urls(spark.createDataFrame(urls, "page_id bigint, url string"), urlfilter.rule_table(spark, rules)), "page_id", "rule", "verdict")
+    assert got == sorted(want, key=repr)
+
+
 def test_quality(spark, odd):
     docs = [(i, t if t is None else t[:4000]) for i, t in odd] + [(400, "same line here\n" * 30), (401, "a\nb\n a\nb\n\n\n#$%"), (402, "x y z")]
     m = quality.quality_rules(frame(spark, docs))
