@@ -99,7 +99,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to WARC archives and read back in the order of captures."""
-    return archive_pages(table(spark, sf_dir, "pages"))
+    return archive_pages(table(spark, sf_dir, "pages")).drop("file", "offset", "length")  # where the member is; the names are new each time
 
 
 OP6_SQL = """

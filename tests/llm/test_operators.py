@@ -282,6 +282,34 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_members_by_offset(spark, tmp_path, monkeypatch):
+    """Archives stay under their bytes, each record is a member that its index row finds, runs are merged over ranges."""
+    import gzip
+    from urllib.parse import unquote, urlparse
+
+    monkeypatch.setattr(warc, "ARCHIVE", 20_000)
+    rng = random.Random(51)
+    rows = [(f"id {i}\r\n%" if i else None, f"http://h{rng.randrange(5)}.com/{rng.randrange(9)}", prose(rng, rng.randrange(0, 400)) if i % 9 else "the same payload " * 20) for i in range(400)]
+    rows += [("big", "http://z.org", rng.randbytes(9 << 20).hex())]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    runs = common.materialize(warc.read_archives(spark, str(tmp_path / "w"), False), "runs") if warc.write_archives(pages, str(tmp_path / "w")) is None else None
+    index = warc.capture_index(runs, per_range=50)
+    assert index.rdd.getNumPartitions() == 9
+    got = index.collect()
+    assert [(r.url_key, r.captured, r.page_id is not None, r.page_id or "") for r in got] == sorted((r.url_key, r.captured, r.page_id is not None, r.page_id or "") for r in got)
+    files = {r.file: Path(unquote(urlparse(r.file).path)).read_bytes() for r in got}
+    assert len(files) > 10 and sorted(map(len, files.values()))[-2] <= 20_001
+    whole = {i: h for i, _, h in rows}
+    assert {r.page_id for r in got} == set(whole)
+    for r in got:
+        record = gzip.decompress(files[r.file][r.offset : r.offset + r.length])
+        payload = whole[r.page_id].encode() if r.record_type == "response" else b""
+        assert record.startswith(b"WARC/1.1\r\nWARC-Type: " + r.record_type.encode()) and record.endswith(b"\r\n\r\n" + payload + b"\r\n\r\n")
+        assert next(warc.parse(files[r.file], r.offset))[4] == payload
+        assert r.refers_to == (min(i for i, h in whole.items() if h == whole[r.page_id] and i is not None) if r.record_type == "revisit" else None)
+    assert all(len(gzip.decompress(data)) > 0 for data in files.values())  # any gzip reader takes a whole file
+
+
 def test_loser_tree():
     rng = random.Random(8)
     for k in (0, 1, 2, 3, 7, 16):
