@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, let, materialize
+from .common import ascii_lower, fresh, let, materialize, row_keys
 
 #: What separates words: every ASCII character but digits and letters.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,8 +77,7 @@ def find_contamination(
         p = windows.where(F.col("len") == n).select(F.lit(n).alias("len"), F.explode(minima(F.split("ws", " "), n, gram)).alias("print"))
         prints = p if prints is None else prints.union(p)
 
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(id_col, text_col).alias("k2")]
-    d = docs.select(F.col(id_col).alias("id"), *key, F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text_col), F.col(text_col).alias("text"))
     none = F.struct(F.lit(0).alias("len"), F.lit(None).cast("long").alias("print"))
 
     def fingerprints(w: Column) -> Column:
@@ -136,9 +135,14 @@ def _report(out: DataFrame, hits: DataFrame | None, id_col: str, share: int) ->
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that ``find_contamination`` calls contaminated."""
-    goes = materialize(find_contamination(docs, items, id_col, text_col, **options).where("contaminated").select("k1", "k2").distinct(), "goes")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, **options) -> DataFrame:
+    """``docs`` without the rows in which ``find_contamination`` hits at least ``least`` words.
+
+    One window of an item is enough: a passage that is a small share of a long text is as much of a leak as the same
+    passage alone, so the share that ``contaminated`` asks for doesn't count here, and no window of an item is left.
+    Nulls, empty texts, repeated rows and empty tables are as there; rows without words stay.
+    """
+    goes = materialize(find_contamination(docs, items, id_col, text_col, **options).where(F.col("n_hit") >= least).select("k1", "k2").distinct(), "goes")
     k1, k2 = fresh(docs, "k1", "k2")
-    keyed = docs.withColumns({k1: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), k2: F.xxhash64(id_col, text_col)})
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_col, text_col), strict=True)))
     return keyed.join(_checked(goes.toDF(k1, k2), goes.count()), [k1, k2], "left_anti").select(docs.columns)
