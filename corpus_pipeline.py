@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+Null and empty texts go through all stages but the last, which takes no document without words. Null ids and ids of
+any type that orders are kept. Rows repeated with id and text are judged alike: all go or stay together, but for the
+near-duplicate stage and the mix, which keep one of them. Further columns stay as they are. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.llm.common import shared_dir, table
 from lemmaflow.llm.decontaminate import drop_contaminated
-from lemmaflow.llm.mixing import mix_sources
+from lemmaflow.llm.mixing import apply_mix
 from lemmaflow.llm.secrets import redact_secrets
 from lemmaflow.llm.simhash import drop_near_duplicates
 from lemmaflow.llm.toxicity import drop_toxic
@@ -26,19 +31,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that op2 doesn't call contaminated by the benchmark."""
+    """Documents without any window of the benchmark: a passage in a long text is a leak as well as one alone."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets of op4 blotted out of the text and ``n_chars`` counted anew where they were."""
+    """Every document, with the secrets of op4 blotted out of the text and ``n_chars``, if there, counted anew where they were."""
     clean = redact_secrets(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").contains("[SECRET]"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    if "n_chars" not in clean.columns:
+        return clean
+    kind = clean.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(F.col("text").contains("[SECRET]"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of op10: every document with its copies; those that give no word are out."""
-    return mix_sources(docs).where("taken > 0")
+    """The mix of op10: the documents taken, whole, each with the number of its ``copies``; those that give no word are out."""
+    return apply_mix(docs)
 
 
 STAGES = [
