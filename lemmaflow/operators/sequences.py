@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Positions of a block: prefix counts run within blocks and over blocks, so one long sequence is many tasks.
 BLOCK = 1 << 16
+#: Positions of a piece, of which a rank query gets the places, and pieces of a stretch, over which their counts are summed.
+PIECE, STRETCH = 2048, 512
 
 
 def prefix_counts(seq: DataFrame) -> DataFrame:
@@ -22,21 +24,32 @@ def prefix_counts(seq: DataFrame) -> DataFrame:
 
 
 def rank_rows(seq: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(seq_id, sym, i, rank)`` for queries ``(seq_id, sym, i)``: occurrences in [0, i), extended past both ends."""
+    """``(seq_id, sym, i, rank)`` for queries ``(seq_id, sym, i)``: occurrences in [0, i), extended past both ends.
+
+    A directory in two levels: occurrences of a symbol by pieces of 2048 positions, and by stretches of 512 pieces. A
+    query is put in the order of the pieces of its stretch, and of the stretches, where running sums give what lies
+    before it; the piece it is in is found by equality. So a query meets one piece, and the rows of one window are
+    the pieces of a stretch and the queries there.
+    """
+    key, none = ["seq_id", "sym"], F.lit(0).cast("long")
     sizes = seq.groupBy("seq_id").agg(F.count("*").alias("n"))
-    q = queries.join(sizes, "seq_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    q = q.withColumn("at", F.least("i", "n")).withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
-    s = seq.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
-    counts = s.groupBy("seq_id", "sym", "block").agg(F.count("*").alias("n_block"), F.sort_array(F.collect_list("pos")).alias("places"))  # at most BLOCK places
-    lead = Window.partitionBy("seq_id", "sym").orderBy("block")
-    counts = counts.withColumn("done", F.sum("n_block").over(lead.rowsBetween(Window.unboundedPreceding, -1)))
-    here = q.join(counts.select("seq_id", "sym", "block", "places", "done"), ["seq_id", "sym", "block"], "left")
-    # a block without the symbol: the counts up to the last block before it that has it
-    last = q.join(counts.select("seq_id", "sym", F.col("block").alias("b"), (F.coalesce("done", F.lit(0).cast("long")) + F.col("n_block")).alias("upto")), ["seq_id", "sym"]).where("b < block")
-    last = last.groupBy("seq_id", "sym", "i").agg(F.max("upto").alias("upto"))
-    here = here.join(last, ["seq_id", "sym", "i"], "left")
-    hits = F.coalesce("upto", F.lit(0).cast("long")) + F.coalesce(F.size(F.filter("places", lambda p: p < F.col("at"))), F.lit(0))
-    return here.select("seq_id", "sym", "i", F.when(F.col("i") <= 0, F.col("i").cast("long")).otherwise(hits + F.col("i") - F.col("at")).cast("long").alias("rank"))
+    q = queries.join(sizes, "seq_id", "left").withColumn("n", F.coalesce("n", none))
+    q = q.withColumn("at", F.greatest(F.least("i", "n"), F.lit(0)).cast("long")).withColumn("piece", F.floor(F.col("at") / PIECE))
+    pieces = seq.withColumn("piece", F.floor(F.col("pos") / PIECE)).groupBy(*key, "piece").agg(F.count("*").alias("ones"), F.sort_array(F.collect_list("pos")).alias("places"))
+
+    def before(counts: DataFrame, asked: DataFrame, place: str, part: list) -> DataFrame:
+        """``asked`` with the sum of ``ones`` at smaller places of the part, by one running sum over both."""
+        run = Window.partitionBy(*part).orderBy(place, F.col("ones").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        both = counts.unionByName(asked.withColumn("ones", F.lit(None).cast("long")))
+        return both.withColumn("sum", F.coalesce(F.sum("ones").over(run), none)).where("ones is null").select(*asked.columns, "sum")
+
+    stretch = F.floor(F.col("piece") / STRETCH).alias("stretch")
+    counts, asked = pieces.select(*key, stretch, "piece", "ones"), q.select(*key, stretch, "piece").distinct()
+    near = before(counts, asked, "piece", [*key, "stretch"]).withColumnRenamed("sum", "in_stretch")
+    far = before(counts.groupBy(*key, "stretch").agg(F.sum("ones").alias("ones")), asked.select(*key, "stretch").distinct(), "stretch", key).withColumnRenamed("sum", "in_stretches")
+    here = q.join(near.join(far, [*key, "stretch"]), [*key, "piece"], "left").join(pieces.drop("ones"), [*key, "piece"], "left")
+    hits = F.coalesce("in_stretches", none) + F.coalesce("in_stretch", none) + F.coalesce(F.size(F.filter("places", lambda p: p < F.col("at"))), F.lit(0))
+    return here.select(*key, "i", F.when(F.col("i") <= 0, F.col("i").cast("long")).otherwise(hits + F.col("i") - F.col("at")).cast("long").alias("rank"))
 
 
 def delta_rank_rows(seq: DataFrame, ranges: DataFrame) -> DataFrame:

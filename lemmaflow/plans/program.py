@@ -21,6 +21,11 @@ from .terms import And, Body, Combine, Literal, Rule, Var, expand, row
 MERGES: dict[str, Callable[[str], Column]] = {"min": F.min, "max": F.max, "sum": F.sum, "first": F.min, "or": F.bool_or, "and": F.bool_and}
 
 
+#: Rows of a relation from which a round looks only for its new rows' keys in it, rows up to which those are broadcast, and
+#: pieces that a relation may be kept in before the later ones are joined.
+LARGE, BROADCAST_ROWS, PIECES = 200_000, 500_000, 12
+
+
 @dataclass(frozen=True)
 class Semiring:
     """How values of alternative derivations merge (``plus``) and how a derivation's values combine (``times``)."""
@@ -203,10 +208,11 @@ class Program:
         return True
 
     def _relevant(self, name: str, rules: list[Rule], bound: dict[int, Any]) -> DataFrame | None:
-        """The bound rows of a linear recursion, by magic sets; None where the rules don't allow it.
+        """The bound rows of a recursion, by magic sets; None where the rules don't allow it.
 
-        A relation of asked-for values is derived first: those of the goal, and those that a rule's other literals
-        hand on to its recursive one. Every rule then starts from it, so nothing is derived that no answer can need.
+        A relation of asked-for values is derived along: those of the goal, and those that a rule's other literals, and
+        its recursive ones further left, hand on to a recursive one. Every rule then starts from it, so nothing is
+        derived that no answer can need. Relations with values may have one recursive literal a rule.
         """
         key = (name, "asked", tuple(sorted(bound.items())))
         if key in self._known:
@@ -229,12 +235,13 @@ class Program:
             q.rule(Literal(name, names), started(Combine("+", (Literal(given.name, names),)) if rel.value else Literal(given.name, names), names))
             for r in (a for rule in rules for a in rule.alternatives()):
                 same = [x for x in r.body.literals() if x.relation == name]
-                if len(same) > 1 or any(x.negated for x in same) or (rel.value and not isinstance(r.body, Combine) and r.value is None and same):
+                if (rel.value and len(same) > 1) or any(x.negated for x in same) or (rel.value and not isinstance(r.body, Combine) and r.value is None and same):
                     return None
                 q.rule(Rule(r.head, started(r.body, r.head.args), r.value))
-                if same and tuple(same[0].args[k] for k in at) != tuple(r.head.args[k] for k in at):
-                    others = [x for x in r.body.literals() if x.relation != name]
-                    q.rule(Literal(asked.name, tuple(same[0].args[k] for k in at)), And((Literal(asked.name, tuple(r.head.args[k] for k in at)), *others)))
+                others = [x for x in r.body.literals() if x.relation != name]
+                for i, x in enumerate(same):
+                    if tuple(x.args[k] for k in at) != tuple(r.head.args[k] for k in at):
+                        q.rule(Literal(asked.name, tuple(x.args[k] for k in at)), And((Literal(asked.name, tuple(r.head.args[k] for k in at)), *others, *same[:i])))
         except ValueError:  # a value that only the recursive literal binds
             return None
         df = q._rows(name, {})
@@ -287,9 +294,9 @@ class Program:
     def _fixpoint(self, names, rules, start, lower, columns, value_of) -> dict[str, DataFrame]:
         """Semi-naive rounds over the relations of one stratum."""
         spark = self.spark
-        paths = {n: scratch_path(spark, f"fix-{n}") for n in names}
         schemas = {n: self.relations[n].schema for n in names}
         static: dict[str, tuple[DataFrame, str]] = {}
+        pieces: dict[str, list[tuple[str, int]]] = {n: [] for n in names}  # of each relation, with their rows
 
         def fixed(lit: Literal, number: int) -> DataFrame:
             # what the rounds read again and again is computed once
@@ -298,30 +305,65 @@ class Program:
                 static[lit.relation] = store(side if value_of(lit.relation) else side.distinct(), f"base-{lit.relation}")
             return static[lit.relation][0]
 
-        whole: dict[str, DataFrame] = {}
-        merged: dict[str, str] = {}  # where a value relation's latest table is
-        delta: dict[str, DataFrame | None] = {}
-
-        def stored(n: str, k: int) -> DataFrame:
-            # set relations only grow: every round adds a folder and all folders are the relation
-            return spark.read.schema(schemas[n]).parquet(*(f"{paths[n]}/{i}" for i in range(k + 1)))
-
-        def write(df: DataFrame, path: str) -> DataFrame | None:
-            """Writes the rows and counts them on the way; None if there are none."""
-            seen = Observation()
+        def write(df: DataFrame, name: str) -> tuple[DataFrame, str, int]:
+            """Writes the rows and counts them on the way."""
+            path, seen = scratch_path(spark, name), Observation()
             df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-            return spark.read.schema(df.schema).parquet(path) if seen.get["n"] else None
-
-        for n in names:
-            delta[n] = write(start(n).select(*schemas[n].names), f"{paths[n]}/0")
-            whole[n] = stored(n, 0)
+            return spark.read.schema(df.schema).parquet(path), path, seen.get["n"]
+
+        def log(n: str) -> DataFrame:
+            # a relation only grows: every round adds a piece, also to replace values, and all pieces are the relation
+            return spark.read.schema(schemas[n]).parquet(*(path for path, _ in pieces[n]))
+
+        def whole(n: str) -> DataFrame:
+            rel = self.relations[n]
+            return log(n) if rel.value is None or rel.merge == "first" else rel.normal(log(n))
+
+        def add(n: str, df: DataFrame) -> DataFrame | None:
+            """Writes a round's rows as a piece; None if there are none."""
+            out, path, rows = write(df.select(*schemas[n].names), f"fix-{n}")
+            if rows or not pieces[n]:
+                pieces[n].append((path, rows))
+            else:
+                discard(spark, path)
+            return out if rows else None
+
+        def join_pieces(n: str) -> None:
+            """Joins the later pieces once there are many, those that aren't larger than what came after: each row moves a few times only."""
+            if len(pieces[n]) <= PIECES:
+                return
+            sizes = [rows for _, rows in pieces[n]]
+            first = next((k for k in range(len(sizes) - 1) if sizes[k] <= 2 * sum(sizes[k + 1 :])), len(sizes) - 2)
+            rest = pieces[n][first:]
+            rows = sum(sizes[first:])
+            _, path, _ = write(spark.read.schema(schemas[n]).parquet(*(path for path, _ in rest)).coalesce(1 + rows // 2_000_000), f"fix-{n}")
+            pieces[n][first:] = [(path, rows)]
+            joined.extend(path for path, _ in rest)
+
+        def known(n: str, new: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+            """The new rows, and the relation's rows of their keys at least, whose values are merged.
+
+            A large relation is not shuffled for that: the new rows are written and, if they are few by their count,
+            broadcast to it; what comes back is no larger than they are (times the pieces that a value is in).
+            """
+            rel, scratch = self.relations[n], []
+            if sum(rows for _, rows in pieces[n]) > LARGE:
+                new, path, rows = write(new, f"new-{n}")
+                scratch.append(path)
+                if rows <= BROADCAST_ROWS:
+                    found = log(n).join(F.broadcast(new.select(*rel.keys)), rel.keys, "left_semi")
+                    return new, found if rel.value is None else rel.normal(found), scratch
+            return new, whole(n), scratch
+
+        joined: list[str] = []
+        delta: dict[str, DataFrame | None] = {n: add(n, start(n)) for n in names}
         for k in range(1, self.max_rounds + 1):
             if not any(d is not None for d in delta.values()):
                 self.rounds.update(dict.fromkeys(names, k - 1))
-                for _, path in static.values():
+                for path in [*(path for _, path in static.values()), *joined]:
                     discard(spark, path)
-                return whole
-            fresh: dict[str, DataFrame | None] = {}
+                return {n: whole(n) for n in names}
+            fresh: dict[str, DataFrame] = {}
             for n in names:
                 rel = self.relations[n]
                 parts = []
@@ -333,38 +375,30 @@ class Program:
                         def side(x: Literal, number: int, i: int = i) -> DataFrame:
                             if x.relation not in names:
                                 return fixed(x, number)
-                            return delta[x.relation] if number == i else whole[x.relation]
+                            return delta[x.relation] if number == i else whole(x.relation)
 
                         parts.append(apply_rule(r, side, columns, value_of).select(*schemas[n].names))
-                if not parts:
-                    fresh[n] = None
-                    # the relation's folders go on counting rounds
-                    spark.createDataFrame([], schemas[n]).write.parquet(f"{paths[n]}/{k}")
-                    continue
-                new = parts[0]
-                for p in parts[1:]:
-                    new = new.unionByName(p)
-                new = rel.normal(new)
+                if parts:
+                    new = parts[0]
+                    for p in parts[1:]:
+                        new = new.unionByName(p)
+                    fresh[n] = rel.normal(new)
+            later: dict[str, DataFrame | None] = dict.fromkeys(names)
+            found = {n: known(n, new) for n, new in fresh.items()}  # what a round derives comes from the state before it
+            for n, (new, old, scratch) in found.items():
+                rel = self.relations[n]
                 if rel.value is None:
-                    new = new.join(whole[n], rel.keys, "left_anti")
+                    new = new.join(old, rel.keys, "left_anti")
                 else:
-                    old = whole[n].withColumnRenamed(rel.value, "_old")
-                    new = new.join(old, rel.keys, "left")
+                    new = new.join(old.withColumnRenamed(rel.value, "_old"), rel.keys, "left")
                     better = {"min": F.col(rel.value) < F.col("_old"), "max": F.col(rel.value) > F.col("_old"), "or": F.col(rel.value) & ~F.col("_old"), "and": ~F.col(rel.value) & F.col("_old"), "first": F.lit(False)}[rel.merge]
                     new = new.where(F.col("_old").isNull() | better).select(*schemas[n].names)
-                fresh[n] = write(new, f"{paths[n]}/{k}")
+                later[n] = add(n, new)
+                for path in scratch:
+                    discard(spark, path)
             for n in names:
-                rel = self.relations[n]
-                if rel.value is None:
-                    whole[n] = stored(n, k)
-                elif rel.merge == "first":
-                    whole[n] = stored(n, k)
-                elif fresh[n] is not None:
-                    whole[n], path = store(rel.normal(whole[n].unionByName(fresh[n])), f"fix-{n}")
-                    if n in merged:
-                        discard(spark, merged[n])
-                    merged[n] = path
-                delta[n] = fresh[n]
+                join_pieces(n)
+            delta = later
         raise RuntimeError(f"no fixed point of {', '.join(names)} within {self.max_rounds} rounds")
 
     def query(self, goal: Body) -> DataFrame:
