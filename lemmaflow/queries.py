@@ -12,9 +12,10 @@ from .functions import bitmaps, sequences, words
 from .operators import bitvectors, stats, wavelets, zorder
 from .operators import sequences as long_sequences
 from .operators.ordered import following
-from .plans.program import Program
-from .plans.terms import no, row, variables
-from .sources.tables import literal, parquet
+from .plans.program import BOOLEAN, MAX_MIN, MAX_TIMES, Program, Relation, Semiring, problem
+from .plans.terms import combine, no, row, variables
+from .sources.tables import bit_words, literal, materialize, parquet, scratch_path
+from .streaming.trim import trimmed_summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,6 +315,114 @@ def dl_hops(spark, sf_dir):
     return p.query(row(tc(X, Y)))
 
 
+@query(f"WITH RECURSIVE edge AS ({TRANSITIONS_SQL}), tc(dst) AS (SELECT dst FROM edge WHERE src = (SELECT min(src) FROM edge) UNION SELECT edge.dst FROM tc JOIN edge ON tc.dst = edge.src) SELECT dst AS X FROM tc")
+def dl_tc_bound_both(spark, sf_dir):
+    """The same with two recursive literals in the rule: only nodes that are reached are asked for."""
+    p = Program(spark)
+    edges = transitions(spark, sf_dir)
+    edge = p.table("edge", "src bigint, dst bigint", data=edges.select("src", "dst"))
+    tc = p.table("tc", "src bigint, dst bigint")
+    p.rule(tc(X, Y), edge(X, Y))
+    p.rule(tc(X, Z), tc(X, Y) & tc(Y, Z))
+    return p.query(tc(edges.agg(F.min("src")).first()[0], X))
+
+
+def _paths(spark, sf_dir, semiring: Semiring, kind: str, value: Column) -> DataFrame:
+    """Values of all paths of the hierarchy under a semiring."""
+    p = Program(spark)
+    edge = p.table("edge", f"src string, dst string, v {kind}", value="v", merge=semiring.plus, data=hierarchy(spark, sf_dir).withColumn("v", value))
+    tc = p.table("tc", f"src string, dst string, v {kind}", value="v", merge=semiring.plus)
+    p.rule(tc(X, Y), edge(X, Y))
+    p.rule(tc(X, Z), combine(semiring.times, tc(X, Y), edge(Y, Z)))
+    return p.query(row(tc(X, Y)))
+
+
+def _paths_sql(value: str, times: str, plus: str) -> str:
+    return f"""WITH RECURSIVE edge AS ({HIERARCHY_SQL}), w AS (SELECT src, dst, {value} AS v FROM edge),
+d(src, dst, v) AS (SELECT src, dst, v FROM w UNION ALL SELECT d.src, w.dst, {times} FROM d JOIN w ON d.dst = w.src) SELECT src, dst, {plus} AS v FROM d GROUP BY 1, 2"""
+
+
+@query(_paths_sql("CAST(length(src) % 5 AS BIGINT)", "least(d.v, w.v)", "max(v)"))
+def dl_max_min(spark, sf_dir):
+    """Widest paths."""
+    return _paths(spark, sf_dir, MAX_MIN, "bigint", (F.length("src") % 5).cast("long"))
+
+
+@query(_paths_sql("CASE WHEN length(src) % 2 = 0 THEN 0.5 ELSE 0.25 END::DOUBLE", "d.v * w.v", "max(v)"))
+def dl_max_times(spark, sf_dir):
+    """Most reliable paths."""
+    return _paths(spark, sf_dir, MAX_TIMES, "double", F.when(F.length("src") % 2 == 0, 0.5).otherwise(0.25))
+
+
+@query(_paths_sql("length(src) % 4 <> 0", "d.v AND w.v", "bool_or(v)"))
+def dl_boolean(spark, sf_dir):
+    """Whether a path has only open edges."""
+    return _paths(spark, sf_dir, BOOLEAN, "boolean", F.length("src") % 4 != 0)
+
+
+@query("SELECT DISTINCT n_name AS X, c_mktsegment AS Y FROM nation JOIN customer ON n_nationkey = c_nationkey")
+def dl_dynamic_table(spark, sf_dir):
+    """Relations without names of their own, made while the program runs."""
+    p = Program(spark)
+    nation = p.table(None, "nation int, name string", data=parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    customer = p.table(None, "nation int, segment string", data=parquet(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment"))
+    out = p.table(None, "name string, segment string")
+    p.rule(out(Y, Z), nation(X, Y) & customer(X, Z))
+    return p.query(out(X, Y))
+
+
+@query("SELECT DISTINCT n_name || ' in ' || r_name AS row FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dl_row_constructor(spark, sf_dir):
+    """Answers as values of a relation's own row constructor."""
+    p, nation, _, _, region, _ = _places(spark, sf_dir)
+    lies = p.table("lies", "nation string, region string", make_row=lambda nation, region: F.concat(nation, F.lit(" in "), region))
+    p.rule(lies(Y, W), nation(X, Y, Z) & region(Z, W))
+    return p.query(row(lies(X, Y)))
+
+
+_TOY = [("A", "B"), ("B", "C"), ("B", "A"), ("C", "D"), ("D", "E"), ("E", "F")]
+
+
+@query("SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) t(X)")
+def dl_problem(spark, sf_dir):
+    """A program assembled from its facts, rules and goal: what A reaches in the toy graph."""
+    edge, tc = (Relation(n, literal(spark, [], "src string, dst string").schema) for n in ("Edge", "TC"))
+    rules = [tc(X, Y).when(edge(X, Y)), tc(X, Z).when(tc(X, Y) & edge(Y, Z))]
+    return problem(spark, {edge: _TOY}, rules, tc("A", X), [edge, tc])
+
+
+def _rules(spark):
+    edge, tc = (Relation(n, literal(spark, [], "src string, dst string").schema) for n in ("edge", "tc"))
+    p, q, r = variables("P Q R")
+    return [
+        tc(X, Z).when(tc(X, Y) & edge(Y, Z)), tc(p, r).when(tc(p, q) & edge(q, r)), tc(X, Y).when(edge(Y, Z)),
+        tc(X, X).when(edge(X, X)), tc(X, Y).when(edge(X, Y) & no(tc(Y, Z))), tc(X, Y).when(edge(X, Y) | edge(Y, X)),
+    ]
+
+
+@query("""SELECT * FROM (VALUES (0, 'tc(X, Z) :- tc(X, Y) & edge(Y, Z)', 'tc(v0, v1) :- tc(v0, v2) & edge(v2, v1)', 3, true, 1), (1, 'tc(P, R) :- tc(P, Q) & edge(Q, R)', 'tc(v0, v1) :- tc(v0, v2) & edge(v2, v1)', 3, true, 1),
+(2, 'tc(X, Y) :- edge(Y, Z)', 'tc(v0, v1) :- edge(v1, v2)', 3, false, 1), (3, 'tc(X, X) :- edge(X, X)', 'tc(v0, v0) :- edge(v0, v0)', 1, true, 1),
+(4, 'tc(X, Y) :- edge(X, Y) & no(tc(Y, Z))', 'tc(v0, v1) :- edge(v0, v1) & no(tc(v1, v2))', 3, false, 1), (5, 'tc(X, Y) :- edge(X, Y) | edge(Y, X)', 'tc(v0, v1) :- edge(v0, v1) | edge(v1, v0)', 2, true, 2)) t(number, text, normal, bindings, legal, alternatives)""")
+def dl_rule_forms(spark, sf_dir):
+    """Rules as text, by first use of their variables, with how many those are, and whether each is bound."""
+    rows = [(k, repr(r), repr(r.normalized()), r.bindings, not r.problems(), len(r.alternatives())) for k, r in enumerate(_rules(spark))]
+    return literal(spark, rows, "number int, text string, normal string, bindings int, legal boolean, alternatives int")
+
+
+@query("""SELECT * FROM (VALUES (0, 'edge(src, dst)'), (1, 'tc(src, dst)'), (2, 'stratum 0: tc (recursive)'), (3, '  tc(X, Y) :- edge(X, Y)'), (4, '  tc(X, Z) :- tc(X, Y) & edge(Y, Z)')) t(line, text)""")
+def dl_text(spark, sf_dir):
+    """A program's declarations, strata and rules as text."""
+    p, *_ = _hier(spark, sf_dir)
+    return literal(spark, list(enumerate(p.explain().split("\n"))), "line int, text string")
+
+
+@query("SELECT DISTINCT c_custkey AS X FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'MACHINERY'")
+def dl_substitute(spark, sf_dir):
+    """A literal whose variables were replaced by values."""
+    p, _, customer, *_ = _places(spark, sf_dir)
+    return p.query(customer(X, Y, Z).substitute({Y: 3, Z: "MACHINERY"}))
+
+
 # Sequences
 
 
@@ -473,6 +582,33 @@ def bit_columns(spark, sf_dir):
     )
 
 
+_INVERTED = "list_filter(xs, lambda b: NOT b)"
+
+
+@query(f"""{_USER_BITS} SELECT user_id, (len(xs) + 63) // 64 AS n_words, (len(xs) + 63) // 64 * 8 AS n_bytes, false AS none, true AS empty, len(xs) > 20 AS has20, len({_INVERTED}) AS zeros, least(len(xs), 40) AS cut,
+  CASE WHEN len(list_filter(xs[1:50], lambda b: b)) = 0 THEN 0 ELSE list_sum(list_transform(xs[1:50], lambda b, i: CASE WHEN b THEN 1::HUGEINT << (i - 1)::INT ELSE 0 END))::BIGINT END AS low50,
+  CASE WHEN len(list_filter(xs, lambda b: b)) = len(xs) THEN 0 ELSE -1 END AS order_ones, CASE WHEN len(xs) = 1 THEN 0 ELSE -1 END AS order_longer FROM a""")
+def bit_columns_more(spark, sf_dir):
+    """Words required, word fetch, emptiness, containment, a function of each bit, the first bits of given words, and the order of vectors."""
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 50).alias("b"))))["b"]
+    u = parquet(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("xs")).select("user_id", "xs", bitmaps.pack(F.col("xs")).alias("bm"))
+    bm, n = F.col("bm"), F.col("bm")["n_bits"]
+    inverted, ones = bitmaps.each(bm, lambda b: ~b), bitmaps.each(bm, lambda b: F.lit(True))
+    longer = bitmaps.pack(F.concat(F.slice("xs", 2, 1), F.col("xs")))
+    first50 = bitmaps.word(bitmaps.take(bm, F.lit(50)), F.lit(0))
+    return u.select(
+        "user_id", bitmaps.words_required(n).cast("long").alias("n_words"), bitmaps.bytes_required(n).cast("long").alias("n_bytes"), bitmaps.is_null(bm).alias("none"), bitmaps.is_null(bitmaps.empty()).alias("empty"),
+        bitmaps.contains(bm, F.lit(20)).alias("has20"), bitmaps.rank(True, inverted, n).alias("zeros"), bitmaps.size(bitmaps.make(F.lit(40), F.slice(bm["words"], 1, 1))).alias("_cut"), first50.alias("low50"),
+        bitmaps.compare(bm, ones).alias("order_ones"), bitmaps.compare(bm, longer).alias("order_longer"), n.alias("_n"),
+    ).withColumn("cut", F.least("_cut", "_n")).drop("_cut", "_n")
+
+
+@query()
+def bit_file(spark, sf_dir):
+    """A file as a bit vector: 8 bits a byte; the name of the file is all that SQL has not."""
+    return bit_words(spark, f"{sf_dir}/region.parquet").select("n_bits", "word_idx", "word")
+
+
 # Words: keys spread over 64 bits
 
 _WORD = f"WITH k AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem), w AS (SELECT DISTINCT (l_orderkey::HUGEINT * 1099511627776 + l_partkey::HUGEINT * 2097152 + l_suppkey::HUGEINT * 128 + l_linenumber::HUGEINT) % 18446744073709551616 AS u FROM k)"
@@ -603,6 +739,36 @@ def stat_online_trim(spark, sf_dir):
     return _rounded(s).withColumn("sos", F.round("sos", 1))
 
 
+@query(f"SELECT user_id, {_STAT.format('value', 2)} FROM events GROUP BY 1")
+def stat_list(spark, sf_dir):
+    """Summaries of lists, merged with that of nothing on either side."""
+    nothing = F.lit(None).cast(stats.TYPE)
+    xs = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))["value"]
+    s = parquet(spark, sf_dir, "events").groupBy("user_id").agg(stats.merge(nothing, stats.merge(stats.of_array(xs), nothing)).alias("s"))
+    return _rounded(s.select("user_id", "s.*")).withColumn("sos", F.round("sos", 2))
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {_STAT.format('l_quantity', 4)} FROM lineitem GROUP BY 1, 2")
+def stat_storage(spark, sf_dir):
+    """Summaries through a stored table."""
+    return _rounded(materialize(stats.summarize(parquet(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity"), "summaries"))
+
+
+@query(SQL["stat_online_trim"])
+def stat_stream(spark, sf_dir):
+    """Running trimmed summaries over a stream of the events, as they are after its end."""
+    schema = parquet(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out, at = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
+
+    trimmed_summaries(stream, "user_id", "ts", "value", 3).writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{out}/*").groupBy("user_id").agg(F.max_by(F.struct("max", "min", "sum", "count", "mean", "sos"), "batch").alias("s"))
+    return _rounded(found.select("user_id", "s.*")).withColumn("sos", F.round("sos", 1))
+
+
 # Clustering
 
 
@@ -612,6 +778,34 @@ def zorder_key(spark, sf_dir):
     return zorder.cluster(parquet(spark, sf_dir, "part").select("p_partkey", "p_size"), [zorder.Key("p_size", 6), zorder.Key("p_partkey", 12)]).select("p_partkey", z.alias("z"))
 
 
+_Z = SQL["zorder_key"].split("SELECT p_partkey, ")[1].split(" AS z FROM")[0]
+
+
+@query(f"SELECT p_partkey, {_Z} AS z FROM part ORDER BY z, p_partkey LIMIT 25")
+def zorder_top(spark, sf_dir):
+    """The 25 parts that come first along the curve."""
+    z = zorder.zkey([zorder.Key("p_size", 6), zorder.Key("p_partkey", 12)])
+    return zorder.top_k(parquet(spark, sf_dir, "part").select("p_partkey", z.alias("z")), ["z", "p_partkey"], 25)
+
+
+@query("""SELECT place, col, b AS bit FROM (VALUES (0, 'a', 2), (1, 'b', 3), (2, 'a', 1), (3, 'b', 2), (4, 'a', 0), (5, 'b', 1), (6, 'b', 0)) t(place, col, b)""")
+def zorder_schedule(spark, sf_dir):
+    """The order of two keys' bits: the same, whatever third key stands between them."""
+    a, b, c = zorder.Key("a", 3), zorder.Key("b", 4), zorder.Key("c", 5, priority=1, stride=2)
+    with_third = [(k, bit) for k, bit in zorder.schedule([a, b, c]) if k < 2]
+    assert with_third == zorder.schedule([a, b])
+    return literal(spark, [(i, "ab"[k], bit) for i, (k, bit) in enumerate(with_third)], "place int, col string, bit int")
+
+
+@query("SELECT n_nationkey * 2 AS n_nationkey, n_regionkey * 2 AS n_regionkey, coalesce(n_nationkey, 0) - (coalesce(n_regionkey, 0) - 7) AS folded FROM nation")
+def row_columns(spark, sf_dir):
+    """Functions over all columns of a row: traversed, mapped, and folded from the right."""
+    n = parquet(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    folded = zorder.fold_columns(n, lambda c, rest: c - rest, F.lit(7))
+    filled = zorder.traverse_columns(n.withColumn("folded", folded), lambda name, c: F.coalesce(c, F.lit(0)))
+    return zorder.map_columns(filled, lambda c: c * 2).withColumn("folded", (F.col("folded") / 2).cast("int"))
+
+
 # Wavelets: parts by size, 6 bits
 
 _HAAR = """t AS (SELECT p_size::BIGINT AS k, count(*) AS v FROM part WHERE p_size BETWEEN 0 AND 63 GROUP BY 1),
@@ -638,6 +832,15 @@ def haar_estimate(spark, sf_dir):
     return r.select("lo", "hi", F.round("estimate", 3).alias("estimate"), "actual")
 
 
+@query(f"""WITH e AS ({SQL['haar_estimate']}) SELECT lo, hi, round(abs(actual - estimate), 2) AS e_abs, CASE WHEN actual <> 0 THEN round(abs(actual - estimate) / actual, 4) END AS e_rel,
+  round(CASE WHEN actual = 0 THEN 2 * abs(actual - estimate) ELSE least(2 * abs(actual - estimate), 100 * abs(actual - estimate) / actual) END, 2) AS e_comb FROM e""")
+def haar_errors(spark, sf_dir):
+    """Absolute, relative and combined errors of the estimates."""
+    e = haar_estimate(spark, sf_dir)
+    x, y = F.col("estimate"), F.col("actual")
+    return e.select("lo", "hi", F.round(wavelets.e_abs(x, y), 2).alias("e_abs"), F.round(wavelets.e_rel(x, y), 4).alias("e_rel"), F.round(wavelets.e_comb(2.0, 100.0, x, y), 2).alias("e_comb"))
+
+
 @query("""WITH t AS (SELECT p_size::BIGINT AS k, max(p_retailprice) AS v FROM part WHERE p_size BETWEEN 0 AND 63 GROUP BY 1)
 SELECT l AS level, k // (1 << l) AS block, max(v) AS max, round(max(v) FILTER (WHERE l > 0 AND (k // (1 << greatest(l - 1, 0))) % 2 = 1) - max(v) FILTER (WHERE l > 0 AND (k // (1 << greatest(l - 1, 0))) % 2 = 0), 4) AS delta
 FROM t, (SELECT unnest(range(0, 7)) AS l) GROUP BY 1, 2""")
