@@ -97,3 +97,33 @@ def test_pipeline(spark, docs, tmp_path):
         if name != "mixing" and name != "secrets":
             assert all(r == before[i] for i, r in after.items())
     assert sorted(map(repr, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(repr, now.collect()))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Every stage takes null and string ids, null, empty and long texts, repeated rows, clashing names, and an empty table."""
+    from pyspark.sql import functions as F
+    from test_operators import CLASH, prose
+
+    import random
+
+    rng = random.Random(61)
+    base = prose(rng, 80)
+    passage = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    rows = [(f"d{i}", prose(rng, 60)) for i in range(12)] + [("a", base), ("a", base), ("b", base), (None, base), (None, None), ("n", None), ("e", ""), ("w", " \n "), ("long", prose(rng, 20_000)), ("leak", prose(rng, 3000) + " " + passage), ("s", "token = abcdefgh " + prose(rng, 30))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({"source": F.lit("s"), **{c: F.lit(7) for c in CLASH}, "copies": F.lit("x")})
+    labels = spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id string, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{SF_DIR}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        assert sorted(out.columns) == sorted(docs.columns)
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        ids = [r.doc_id for r in docs.collect()]
+        if name == "near_duplicates":
+            assert ids.count("a") == 1 and "b" not in ids and sum(i in ids for i in ("n", "e", "w")) + ids.count(None) == 1
+        if name == "decontamination":
+            assert "leak" not in ids and "long" in ids
+    assert {r.doc_id: r.text for r in docs.collect()}["s"].startswith("[SECRET] ") and not {"n", "e", "w", None} & set(ids)
+    assert {type(r.copies) for r in docs.collect()} == {int}
