@@ -31,6 +31,11 @@ COPYRIGHT = (
     r"(?:(?i:copyright)|(?i:\(c\))(?:[\x20\t]*(?i:copyright))?)[\x20\t:,]*(?:(?i:by|the)[\x20\t]+)?(?:(?:19|20)(?:\d\d|yy|xx)\b|[\[<{])" + _SENTENCE + r"|"
     r"(?:[Cc]opyright|COPYRIGHT|\([cC]\)(?:[\x20\t]*(?i:copyright))?)[\x20\t:]+" + _NAME + r")"
 )
+#: The same inside a line, from the word and a year up to the words that open a licence: of texts that were put on one line.
+INSIDE = (
+    r"(?i:copyright)[\x20\t:]*(?:\([cC]\)|©)?[\x20\t]*(?:19|20)\d\d[^\n.]{0,200}?[\x20\t]"
+    r"(?=(?:Permission\x20(?:is\x20hereby|to\x20use)|Redistribution\x20and\x20use|Licensed\x20under|Released\x20under|This\x20(?:program|software|library)\x20is)\b)"
+)
 #: Rows of known digests up to which they are broadcast; a row is 64 hex digits and a name.
 BROADCAST_ROWS = 100_000
 
@@ -39,13 +44,15 @@ def canonical_lines(text: Column) -> Column:
     """Canonical lines of a text, as an array without empty ones.
 
     Statements of copyright holders go, A-Z is lower-cased, ``&`` is ``and``, everything but letters, digits and non-ASCII
-    characters is one space, and equivalent spellings become one.
+    characters is one space, and equivalent spellings become one, word by word: each word has spaces of its own
+    while they are replaced, so that neighbours don't share one.
     """
-    low = F.replace(ascii_lower(F.regexp_replace(text, COPYRIGHT, "$1")), F.lit("&"), F.lit(" and "))
-    flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
+    bare = F.regexp_replace(F.regexp_replace(text, INSIDE, ""), COPYRIGHT, "$1")
+    low = F.replace(ascii_lower(bare), F.lit("&"), F.lit(" and "))
+    flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", "  "), F.lit(" "))
     flat = F.replace(flat, F.lit("\n"), F.lit(" \n "))
     for old, new in SPELLINGS:
-        flat = F.replace(flat, F.lit(f" {old} "), F.lit(f" {new} "))
+        flat = F.replace(flat, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
     lines = F.transform(F.split(flat, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
     return F.array_remove(lines, "")
 
@@ -67,8 +74,9 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     ``text_license`` is the licence that the entire text is, by its canonical digest, else null. Licence notices
     also stand in other texts: the entire canonical text of every line is looked up too, and ``n_license_lines``
     counts the distinct lines that are a licence, ``licenses`` has their and the text's names, sorted and
-    comma-joined. Null and empty texts have the digest of the empty text and no licence. Rows repeated each get
-    their result. Other columns are not read. Two known texts of one digest are one.
+    comma-joined. Null and empty texts have the digest of the empty text and no licence. Ids may be of any type, equal
+    and null. Rows repeated each get their result. An empty table gives no rows. Other columns are not read. Two known
+    texts of one digest are one.
 
     Plan: one pass over the texts; digests of lines are joined with the known ones where they arise, and only
     hits go on. The known digests are broadcast after a count; a larger table is joined by a shuffle.

@@ -617,6 +617,18 @@ def test_license_lines_that_begin_with_copyright(spark):
     assert all(got[9 + k].text_digest != brute.sha("") for k in range(len(kept)))
 
 
+def test_licenses_on_one_line(spark):
+    from lemmaflow.llm.license_texts import _MIT
+
+    line = " ".join(_MIT.split())
+    texts = [f"MIT License Copyright (c) 2020 Foo Bar {line}", f"Copyright (c) 2020 Foo. {line}", "licence licence license", "The Licence licence, licences.", f"Copyright 2020 {line}"]
+    df = spark.createDataFrame([(f"x{k}", t) for k, t in enumerate(texts)] + [(None, None), ("x0", texts[0])], "doc_id string, text string")
+    got = licenses.scan_licenses(df, licenses.known_digests(spark)).collect()
+    of = {r.doc_id: r for r in got}
+    assert len(got) == 7 and [of[f"x{k}"].text_license for k in (0, 1, 4)] == ["MIT"] * 3
+    assert of["x2"].text_digest == brute.sha("license license license") and of["x3"].text_digest == brute.sha("the license license licenses")
+
+
 def test_entire_licenses(spark):
     """Whole licences, rewrapped and with a holder, are known."""
     from lemmaflow.llm import license_texts
