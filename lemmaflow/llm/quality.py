@@ -82,8 +82,9 @@ def measure(text: bytes) -> tuple:
         if not len(starts):
             break
         roll[starts] = roll[starts] * prime + seeds[starts + size - 1]
-        if size == 3:  # exact: the base rule counts these
-            keys = (ids[starts] * len(number) + ids[starts + 1]) * len(number) + ids[starts + 2]
+        if size == 3:  # exact: the base rule counts these; pairs are numbered first, as a product of three numbers may overflow
+            pair = np.unique(ids[starts] * len(number) + ids[starts + 1], return_inverse=True)[1]
+            keys = pair * len(number) + ids[starts + 2]
         else:
             keys = roll[starts]
         order = np.argsort(keys, kind="stable")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
+from .equivalents import quality_sql, repeats_sql, simhash_sql
 from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources
 from .quality import quality_rules
@@ -166,4 +167,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": _op1_sql(), "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL, "op7_url_filters": OP7_SQL}
+    return {
+        "op1_licenses": _op1_sql(),
+        "op2_decontamination": OP2_SQL,
+        "op3_suffix_dedup": repeats_sql(),
+        "op5_simhash": simhash_sql(),
+        "op6_warc": OP6_SQL,
+        "op7_url_filters": OP7_SQL,
+        "op8_quality": quality_sql(),
+    }

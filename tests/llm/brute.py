@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 
 def sha(s):
@@ -71,7 +72,8 @@ def quality(text):
     words = word.findall(text)
     lines = [x for x in text.split("\n") if word.search(x)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
+    found = Counter(windows)
+    hit = {j for i, w in enumerate(windows) if found[w] > 1 for j in (i, i + 1, i + 2)}
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit)
 
 
