@@ -42,30 +42,37 @@ MIN_BITS, RATE, STEPS = 80.0, 0.01, 8
 #: Rows of spans (under 200 bytes each) up to which they are broadcast to the texts.
 BROADCAST_ROWS = 100_000
 
+#: Pieces of a text that are cut out of one stretch of it: a place in a long text is counted from its start.
+PIECES = 256
+
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
+_FOUND = "array<struct<start:int,rank:int,end:int,token:string>>"
 
 
-def _places(text: Column, pattern: str, rank: int, keep) -> Column:
-    """Spans of all matches, in code points, of which ``keep(match)`` holds.
+def _places(text: Column, pattern: str, rank: int, keep=None) -> Column:
+    """Spans of all matches, in code points, of which ``keep(match)`` holds; without ``keep`` of all, with their ``token``.
 
     A text is its matches and what lies between them, so running sums of the lengths of both give the places.
     """
+    empty = F.array().cast(_SPAN if keep else _FOUND)
 
     def spans(matches: Column) -> Column:
         def placed(x: Column) -> Column:
             at = running(F.transform(x["gaps"], lambda g, i: g + F.coalesce(F.get(x["lengths"], i), F.lit(0))), F.lit(0), lambda s, v: s + v)
-            return let(F.struct(at.alias("at"), x["gaps"].alias("gaps"), x["lengths"].alias("lengths"), x["kept"].alias("kept")), lambda y: _spans_of(y, rank))
+            return let(F.struct(at.alias("at"), x["gaps"].alias("gaps"), x["lengths"].alias("lengths"), x["of"].alias("of")), lambda y: _spans_of(y, rank, keep is None))
 
-        parts = F.struct(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gaps"), F.transform(matches, lambda m: F.length(m)).alias("lengths"), F.transform(matches, keep).alias("kept"))
-        return F.when(F.size(matches) > 0, let(parts, placed)).otherwise(F.array().cast(_SPAN))
+        of = F.transform(matches, keep) if keep else matches
+        parts = F.struct(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gaps"), F.transform(matches, lambda m: F.length(m)).alias("lengths"), of.alias("of"))
+        return F.when(F.size(matches) > 0, let(parts, placed)).otherwise(empty)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
-def _spans_of(y: Column, rank: int) -> Column:
+def _spans_of(y: Column, rank: int, tokens: bool) -> Column:
     def span(n: Column, i: Column) -> Column:
-        start = F.get(y["at"], i) + F.get(y["gaps"], i)
-        return F.when(F.get(y["kept"], i), F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + n).alias("end")))
+        start, of = F.get(y["at"], i) + F.get(y["gaps"], i), F.get(y["of"], i)
+        found = [start.alias("start"), F.lit(rank).alias("rank"), (start + n).alias("end")]
+        return F.struct(*found, of.alias("token")) if tokens else F.when(of, F.struct(*found))
 
     return F.filter(F.transform(y["lengths"], span), lambda x: x.isNotNull())
 
@@ -236,9 +243,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shortest = min(math.ceil(MIN_BITS / math.log2(len(letters))) for _, letters, _ in ENCODINGS)
     runs = rf"[A-Za-z0-9+/_-]{{{shortest},}}"
     base = F.array_sort(F.concat(*(_base_spans(F.col("text"), r) for r in range(len(BASE)))))
-    more = _places(F.col("text"), runs, len(BASE), lambda m: F.lit(True))
+    more = _places(F.col("text"), runs, len(BASE))
     both = let(base, lambda b: let(more, lambda m: F.struct(b.alias("base"), _outside(m, b).alias("more"))))
-    found = d.select("id", "k1", "k2", let(both, lambda x: F.struct(x["base"].alias("base"), F.transform(x["more"], lambda m: F.struct(m.alias("span"), F.substr(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("token"))).alias("more"))).alias("f"))
+
+    def apart(m: Column) -> Column:
+        return F.struct(F.struct(*(m[k].alias(k) for k in ("start", "rank", "end"))).alias("span"), m["token"].alias("token"))
+
+    found = d.select("id", "k1", "k2", let(both, lambda x: F.struct(x["base"].alias("base"), F.transform(x["more"], apart).alias("more"))).alias("f"))
     found = materialize(found.select("id", "k1", "k2", "f.base", "f.more"), "secrets")
     runs = found.where(F.size("more") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", F.inline("more"))
     tokens = battery(runs).where(F.col("bits") >= MIN_BITS).withColumns({"octave": F.floor(F.log2(F.length("token"))), "step": _step("p"), "word_step": _step("p_word")})
@@ -272,6 +283,30 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _cut_out(text: Column, spans: Column, mark: str, pieces: int = PIECES) -> Column:
+    """The text with ``mark`` for each of the sorted spans, and one for spans that overlap.
+
+    What stays is the pieces between the spans. A piece is counted from the start of its stretch of ``pieces`` and only
+    the stretch from the start of the text, so that a long text with many spans isn't read once for each.
+    """
+
+    def between(reach: Column) -> Column:  # reach[i] is the end of all spans before the i-th
+        gaps = F.transform(spans, lambda s, i: F.struct(F.get(reach, i).alias("at"), s["start"].alias("to")))
+        rest = F.struct(F.get(reach, F.size(spans)).alias("at"), F.length(text).alias("to"))
+        return F.concat(F.filter(gaps, lambda g: g["at"] <= g["to"]), F.array(rest))
+
+    def stretches(gaps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / pieces).cast("int")), lambda b: F.slice(gaps, b * pieces + 1, F.lit(pieces)))
+
+    def joined(gaps: Column) -> Column:
+        begin = F.get(gaps, F.lit(0))["at"]
+        stretch = F.struct(begin.alias("at"), F.substr(text, begin + 1, F.element_at(gaps, -1)["to"] - begin).alias("text"))
+        return let(stretch, lambda x: F.array_join(F.transform(gaps, lambda g: F.substr(x["text"], g["at"] - x["at"] + 1, g["to"] - g["at"])), mark))
+
+    reach = running(F.concat(F.transform(spans, lambda s: s["end"]), F.array(F.lit(0))), F.lit(0), lambda s, v: F.greatest(s, v))
+    return let(let(reach, between), lambda gaps: F.array_join(F.transform(stretches(gaps), joined), mark))
+
+
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``scan_secrets`` replaced by ``mark``, overlapping spans by one; nothing else changes."""
     s = scan_secrets(docs, id_col, text_col).where(F.size("all") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "all")
@@ -281,12 +316,5 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumns(dict(zip((k1, k2), row_keys(id_col, text_col), strict=True)))
     both = keyed.join(side.toDF(k1, k2, spans), [k1, k2], "left")
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(x: Column, span: Column) -> Column:
-        inside = span["start"] < x["at"]  # goes on from the span before
-        out = F.concat(x["out"], F.substr(text, x["at"] + 1, F.greatest(span["start"] - x["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(x["at"], span["end"]).alias("at"), F.when(inside, x["out"]).otherwise(out).alias("out"))
-
-    clean = let(F.aggregate(spans, start, cut), lambda x: F.concat(x["out"], F.substr(text, x["at"] + 1)))
+    clean = _cut_out(text, F.col(spans), mark)
     return both.withColumn(text_col, F.when(F.col(spans).isNotNull(), clean).otherwise(text)).select(docs.columns)

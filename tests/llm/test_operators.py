@@ -735,3 +735,38 @@ def test_many_matches_in_one_text(spark):
     for a, b, random_ in sorted((int(a), int(b), k == "random") for k, a, b in spans):
         assert not random_ or (a >= reach and not any(x < b and y > a for x, y in base[:200]))
         reach = max(reach, 0 if random_ else b)
+
+
+def test_spans_are_cut_out_in_stretches(spark):
+    """The mark stands once for overlapping spans, again for touching ones, whatever the stretch; code points count."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice("aé字𝄞 \n") for _ in range(rng.randrange(0, 60)))
+        cuts = sorted((i, rng.randrange(4), min(len(text), i + rng.randrange(1, 9))) for i in (rng.randrange(len(text)) for _ in range(rng.randrange(9) if text else 0)))
+        rows.append((k, text, cuts))
+    df = spark.createDataFrame(rows, "id int, text string, spans array<struct<start:int,rank:int,end:int>>")
+    want = {}
+    for k, text, cuts in rows:
+        out, at = "", 0
+        for start, _, end in cuts:
+            if start >= at:
+                out += text[at:start] + "<X>"
+            at = max(at, end)
+        want[k] = out + text[at:]
+    for pieces in (1, 2, 256):
+        cut = secrets._cut_out(F.col("text"), F.col("spans"), "<X>", pieces)
+        assert {r.id: r.out for r in df.select("id", cut.alias("out")).collect()} == want
+
+
+def test_secrets_of_a_long_text(spark):
+    """More spans than a stretch has pieces: every one is found at its place and blotted out."""
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(letters) for _ in range(48)) for _ in range(700)]
+    text = "".join(f"é {k}\n" for k in keys)
+    docs = frame(spark, [(1, text)])
+    spans = [x.split(":") for x in secrets.secret_report(docs).first().spans.split(",")]
+    assert {text[int(a) : int(b)] for kind, a, b in spans if kind == "random"} <= set(keys) and len(spans) >= 690
+    clean = secrets.redact_secrets(docs).first().text
+    assert clean.count("[SECRET]") == len(spans) and clean.count("é ") == 700 and not any(k in clean for k in {text[int(a) : int(b)] for _, a, b in spans})
