@@ -98,3 +98,21 @@ def test_following_across_pieces(spark):
     df = spark.createDataFrame(rows, "t int, v int")
     got = {r.t: (r.nt, r.nv) for r in following(df, ["t"], {"nt": "t", "nv": "v"}, F.floor(F.col("t") / 10)).collect()}
     assert got == {a[0]: b for a, b in zip(rows, [*rows[1:], (None, None)], strict=True)}
+
+
+def test_clustered_files_prune_on_each_key(spark, tmp_path):
+    """A value of either key lies in few of the files, by their min/max statistics; sorted by one key, only that one prunes."""
+    import pyarrow.parquet as pq
+
+    def files(df, name: str) -> dict[str, int]:
+        df.write.parquet(f"file://{tmp_path}/{name}")
+        ranges = []
+        for p in (tmp_path / name).glob("*.parquet"):
+            group = pq.ParquetFile(p).metadata.row_group(0)
+            ranges.append({group.column(k).path_in_schema: group.column(k).statistics for k in range(2)})
+        return {c: max(sum(s[c].min <= v <= s[c].max for s in ranges) for v in range(64)) for c in ("a", "b")}
+
+    df = spark.range(4096).selectExpr("id % 64 as a", "id div 64 as b")
+    both = files(zorder.cluster(df, [zorder.Key("a", 6), zorder.Key("b", 6)], 16), "both")
+    one = files(df.repartitionByRange(16, "a"), "one")
+    assert max(both.values()) <= 8 and one["b"] >= 15
